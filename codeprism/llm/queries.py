@@ -4,7 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, quality
+from . import chat, html, kdtree, mixing, quality, urls, warc
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written below the shared folder, then read back from there."""
+    return warc.read(*warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +42,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_url_filters": op4_url_filters,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_mixing": op6_mixing,
+    "op7_warc": op7_warc,
+    "op8_exact_top_k": op8_exact_top_k,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_formatting": op10_chat_formatting,
 }
