@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, kdtree, mixing, quality, urls, warc
+from . import chat, html, kdtree, mixing, neardup, packing, quality, urls, warc
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer)
+
+
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +52,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_url_filters": op4_url_filters,
     "op5_html_extraction": op5_html_extraction,
     "op6_mixing": op6_mixing,
