@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, kdtree, mixing, neardup, packing, quality, urls, warc
+from . import chat, html, kdtree, lm, mixing, neardup, packing, quality, urls, warc
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -53,6 +57,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_url_filters": op4_url_filters,
     "op5_html_extraction": op5_html_extraction,
