@@ -29,6 +29,13 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return plain.select(*[F.col(f"_{i}").alias(alias) for alias, i in at.items()])
 
 
+def whole(df: DataFrame, **columns: str) -> tuple[DataFrame, list[str], dict[str, Column]]:
+    """df with plain column names, its own names, and the wanted columns: for results with all columns of df."""
+    names = df.columns
+    plain = df.toDF(*[f"_{i}" for i in range(len(names))])
+    return plain, names, {alias: F.col(f"_{names.index(name)}") for alias, name in columns.items()}
+
+
 def work_root(spark: SparkSession) -> str:
     """The shared folder in spark.checkpoint.dir; a temporary one only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

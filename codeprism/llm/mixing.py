@@ -14,7 +14,7 @@ from itertools import cycle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, pick, staged
+from .common import WORD, pick, staged, whole
 
 SHARE, CAP, WEIGHTS = 1.5, 2, (5.0, 2.0, 1.0)
 #: Levels of 8 bits by which a hash threshold is narrowed down.
@@ -96,31 +96,20 @@ def size_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, **shares) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, taken.
+def keyed(doc_id: Column, text: Column, source: Column, many: bool, seed: int) -> list[Column]:
+    """Pattern, size and hash of a row; the hash is a number from 0 to 2^32 - 1."""
+    members = F.array_sort(F.array_distinct(source)) if many else F.array(source)
+    return [
+        F.to_json(members).alias("pattern"),
+        members.alias("members"),
+        size_of(text).alias("size"),
+        F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text), 32).alias("h"),
+    ]
 
-    source is a string or an array of strings (a document of several sources; source_size
-    and target are then those of its first source in code point order, nulls last). A null
-    source is a source of its own; a null text has size 0, and rows of size 0 take nothing.
-    Rows that are equal in id and text are taken together. An empty table gives no rows;
-    other columns are ignored. taken is size times the number of repetitions, at most CAP.
-    The driver holds one figure per source and pattern and up to 256 per pattern and level.
-    """
-    rows = pick(docs, doc_id=doc_id, text=text, source=source)
-    many = rows.schema["source"].dataType.typeName() == "array"
-    members = F.array_sort(F.array_distinct("source")) if many else F.array("source")
-    base = staged(
-        rows.select(
-            "doc_id",
-            "source",
-            F.to_json(members).alias("pattern"),
-            members.alias("members"),
-            size_of(F.col("text")).alias("size"),
-            # unsigned order of the hash as a number from 0 to 2^32 - 1
-            F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 32).alias("h"),
-        ),
-        "mix",
-    )
+
+def solve(base: DataFrame, **shares) -> DataFrame:
+    """Per pattern: full repetitions, the hash below which rows are taken once more, one more such
+    hash, and size and target of its first source. base has pattern, members, size and h."""
     found = base.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("members").alias("members")).collect()
     patterns = {r["pattern"]: (list(r["members"]), r["size"]) for r in found}
     sizes: dict = defaultdict(int)
@@ -129,29 +118,55 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
             sizes[s] += size
     wanted = targets(dict(sizes), **shares)
     flow = min_cost_flow(patterns, wanted)
-    # of each pattern: full repetitions, then the words of one more that is taken in part
     full, part = {}, {}
     for p, (_, size) in patterns.items():
-        got = sum(flow[p].values())
-        full[p], part[p] = divmod(got, size) if size else (0, 0)
+        full[p], part[p] = divmod(sum(flow[p].values()), size) if size else (0, 0)
     below, left = narrow(base, {p: n for p, n in part.items() if n})
     extra = top_up(base, below, {p: n for p, n in left.items() if n > 0})
-    spark = base.sparkSession
-    plan = spark.createDataFrame(
+    plan = base.sparkSession.createDataFrame(
         [
             (p, full[p], below.get(p, 0), extra.get(p, -1), sizes[own[0]] if own else 0, float(wanted[own[0]]) if own else 0.0)
             for p, (own, _) in patterns.items()
         ],
         "pattern string, full long, below long, extra long, source_size long, target double",
     )
-    if len(patterns) <= BROADCAST_ROWS:
-        plan = F.broadcast(plan)
+    return F.broadcast(plan) if len(patterns) <= BROADCAST_ROWS else plan
+
+
+def copies() -> Column:
     more = (F.col("h") < F.col("below")) | (F.col("h") == F.col("extra"))
-    return base.join(plan, "pattern").select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("full") + more.cast("long"))).alias("taken")
+    return F.when(F.col("size") > 0, F.col("full") + more.cast("long")).otherwise(F.lit(0))
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, **shares) -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, taken.
+
+    source is a string or an array of strings (a document of several sources; source_size
+    and target are then those of its first source in code point order, nulls last). A null
+    source is a source of its own; a null text has size 0, and rows of size 0 take nothing.
+    Rows that are equal in id and text are taken together. An empty table gives no rows;
+    other columns are ignored. taken is size times the number of repetitions, at most CAP.
+    The driver holds one figure per source and pattern and up to 256 per pattern and level.
+    """
+    rows = pick(docs, doc_id=doc_id, text=text, source=source)
+    many = rows.schema["source"].dataType.typeName() == "array"
+    base = staged(rows.select("doc_id", "source", *keyed(F.col("doc_id"), F.col("text"), F.col("source"), many, seed)), "mix")
+    return base.join(solve(base, **shares), "pattern").select(
+        "doc_id", "source", "size", "source_size", "target", (F.col("size") * copies()).alias("taken")
     )
 
 
+def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, **shares) -> DataFrame:
+    """The rows of docs as often as mix() takes them, with all their columns."""
+    plain, names, c = whole(docs, doc_id=doc_id, text=text, source=source)
+    many = docs.schema[source].dataType.typeName() == "array"
+    keys = keyed(c["doc_id"], c["text"], c["source"], many, seed)
+    base = staged(plain.select(*keys), "mix")
+    taken = plain.select("*", *keys).join(solve(base, **shares), "pattern").where(copies() > 0)
+    again = taken.withColumn("copy", F.explode(F.sequence(F.lit(1), copies())))
+    return again.select(*[f"_{i}" for i in range(len(names))]).toDF(*names)
+
+
 def narrow(base: DataFrame, wanted: dict[str, int]) -> tuple[dict[str, int], dict[str, int]]:
     """Of each pattern the hash threshold whose documents below have just up to the words wanted.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, drop_staged, hashed, mix, pick, staged, words_of
+from .common import WordHash, drop_staged, hashed, mix, pick, staged, whole, words_of
 from .graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -294,3 +294,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     named = members.join(labels, F.col("rep") == F.col("id"), "left").withColumn("component_id", F.coalesce("component", "rep"))
     same = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     return named.select("doc_id", "n_shingles", "component_id", same.alias("kept"))
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that near_duplicates() keeps, with all their columns.
+
+    Rows that repeat an id count as one document: the first of each id stays. Rows with a
+    null id stay.
+    """
+    judged = staged(near_duplicates(docs, doc_id, text).select("doc_id", "kept"), "kept")
+    gone = judged.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone")).distinct()
+    plain, names, c = whole(docs, doc_id=doc_id)
+    if not judged.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        repeated = plain.where(c["doc_id"].isNotNull()).dropDuplicates([f"_{names.index(doc_id)}"])
+        plain = repeated.unionAll(plain.where(c["doc_id"].isNull()))
+    few = gone.count() <= BROADCAST_ROWS
+    return plain.join(F.broadcast(gone) if few else gone, c["doc_id"] == F.col("gone"), "left_anti").toDF(*names)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, SPACE, let, pick, word_array
+from .common import SPACE, WORD, let, pick, whole, word_array
 
 WINDOW = 5
 #: Documents in the sample that costs and selectivities come from: about one in SAMPLE_ONE_IN.
@@ -45,62 +45,61 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, F.lit(0)).otherwise(found)
 
 
-def stats(text: Column) -> Column:
-    """All counts of one text as a struct; a null text has the counts of an empty one."""
-    text = F.coalesce(text, F.lit(""))
+FIELDS = {
+    "n_words": lambda t, ws, ls: F.size(ws),
+    "word_chars": lambda t, ws, ls: F.char_length(F.regexp_replace(t, f"{SPACE}+", "")),
+    "n_symbols": lambda t, ws, ls: F.regexp_count(t, F.lit(r"[#*$%&|<>]")),
+    "n_lines": lambda t, ws, ls: F.size(ls),
+    "n_dup_lines": lambda t, ws, ls: F.size(ls) - F.size(F.array_distinct(ls)),
+    "n_repeat_words": lambda t, ws, ls: repeat_words(ws),
+    "n_same": lambda t, ws, ls: F.size(F.filter(ws, lambda w, i: w == F.get(ws, i - 1))),
+    "n_upper": lambda t, ws, ls: F.regexp_count(t, F.lit(r"[A-ZÀ-ÖØ-Þ]")),
+}
 
-    def lines(t: Column) -> Column:
-        with_word = F.filter(F.split(t, "\n", -1), lambda x: F.rlike(x, F.lit(WORD)))
-        return let(
-            with_word,
-            lambda ls: F.struct(F.size(ls).alias("n"), (F.size(ls) - F.size(F.array_distinct(ls))).alias("dup")),
-        )
 
+def stats(text: Column, fields=tuple(FIELDS)) -> Column:
+    """Counts of one text as a struct; a null text has the counts of an empty one."""
+    text = F.coalesce(text, F.lit(""))
+    with_word = F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(WORD)))
+    words = word_array(text) if {"n_words", "n_repeat_words", "n_same"} & set(fields) else F.lit(None)
+    lines = with_word if {"n_lines", "n_dup_lines"} & set(fields) else F.lit(None)
     return let(
-        text,
-        lambda t: let(
-            F.struct(word_array(t).alias("words"), lines(t).alias("lines")),
-            lambda x: F.struct(
-                F.size(x["words"]).cast("long").alias("n_words"),
-                F.char_length(F.regexp_replace(t, f"{SPACE}+", "")).cast("long").alias("word_chars"),
-                F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-                x["lines"]["n"].cast("long").alias("n_lines"),
-                x["lines"]["dup"].cast("long").alias("n_dup_lines"),
-                repeat_words(x["words"]).cast("long").alias("n_repeat_words"),
-                F.size(F.filter(x["words"], lambda w, i: w == F.get(x["words"], i - 1))).cast("long").alias("n_same"),
-                F.regexp_count(t, F.lit(r"[A-ZÀ-ÖØ-Þ]")).cast("long").alias("n_upper"),
-            ),
-        ),
+        F.struct(text.alias("t"), words.alias("ws"), lines.alias("ls")),
+        lambda x: F.struct(*[FIELDS[f](x["t"], x["ws"], x["ls"]).cast("long").alias(f) for f in fields]),
     )
 
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects: from the stats struct; cost: relative time per character and per word."""
+    """rejects: from a struct of the fields; per_char, per_word: relative cost of working the fields out."""
 
     name: str
+    fields: tuple[str, ...]
     rejects: Callable[[Column], Column]
     per_char: float
     per_word: float
 
 
-#: The method's own rules; those of the base verdict come before them.
+BASE = (
+    Rule("few_words", ("n_words",), lambda s: s["n_words"] < 10, 0.5, 0.5),
+    Rule("repeated_windows", ("n_words", "n_repeat_words"), lambda s: s["n_repeat_words"] * 100 > s["n_words"] * 20, 0.5, 12.0),
+)
+#: The method's own rules.
 RULES = (
-    Rule("symbols", lambda s: s["n_symbols"] * 10 > s["n_words"], 1.0, 0.0),
-    Rule("duplicate_lines", lambda s: (s["n_dup_lines"] > 2) & (s["n_dup_lines"] * 10 > s["n_lines"] * 3), 1.0, 0.5),
-    Rule("word_length", lambda s: (s["word_chars"] < s["n_words"] * 2) | (s["word_chars"] > s["n_words"] * 20), 1.0, 1.0),
-    Rule("same_word_again", lambda s: s["n_same"] * 2 > s["n_words"], 0.0, 1.0),
-    Rule("capitals", lambda s: s["n_upper"] * 2 > s["word_chars"], 1.5, 0.0),
+    Rule("symbols", ("n_symbols", "n_words"), lambda s: s["n_symbols"] * 10 > s["n_words"], 0.7, 0.5),
+    Rule("duplicate_lines", ("n_dup_lines", "n_lines"), lambda s: (s["n_dup_lines"] > 2) & (s["n_dup_lines"] * 10 > s["n_lines"] * 3), 0.3, 0.0),
+    Rule("word_length", ("word_chars", "n_words"), lambda s: (s["word_chars"] < s["n_words"] * 2) | (s["word_chars"] > s["n_words"] * 20), 1.0, 0.5),
+    Rule("same_word_again", ("n_same", "n_words"), lambda s: s["n_same"] * 2 > s["n_words"], 0.5, 1.0),
+    Rule("capitals", ("n_upper", "word_chars"), lambda s: s["n_upper"] * 2 > s["word_chars"], 1.2, 0.0),
 )
 
 
-def plan(stats_rows: DataFrame, rules=RULES, one_in: int = SAMPLE_ONE_IN) -> list[Rule]:
-    """Order rules by rejections per cost on a sample of one row in one_in (by hash of id).
+def plan(sample: DataFrame, rules=RULES) -> list[Rule]:
+    """Order rules by rejections per cost on a sample of (id, s), s being the struct of stats().
 
-    stats_rows has id and s (the struct of stats()). The order never changes the verdict,
-    only the work. A sample without rows keeps the given order.
+    The order never changes the verdict, only the work. A sample without rows keeps the
+    given order.
     """
-    sample = stats_rows.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0)
     row = sample.agg(
         F.count("*").alias("n"),
         F.coalesce(F.avg("s.word_chars"), F.lit(0.0)).alias("chars"),
@@ -114,8 +113,14 @@ def plan(stats_rows: DataFrame, rules=RULES, one_in: int = SAMPLE_ONE_IN) -> lis
     return sorted(rules, key=lambda r: -gain(r))
 
 
+def sampled_plan(ids: Column, text: Column, df: DataFrame, rules) -> list[Rule]:
+    """plan() on the sample of df, whose counts are only worked out for the sample."""
+    sample = df.where(F.pmod(F.xxhash64(ids), F.lit(SAMPLE_ONE_IN)) == 0)
+    return plan(sample.select(ids.alias("id"), stats(text).alias("s")), rules)
+
+
 def base_failed(s: Column) -> Column:
-    return (s["n_words"] < 10) | (s["n_repeat_words"] * 100 > s["n_words"] * 20)
+    return BASE[0].rejects(s) | BASE[1].rejects(s)
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules=RULES) -> DataFrame:
@@ -126,8 +131,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules=RUL
     An empty table gives an empty result.
     """
     rows = pick(docs, id=doc_id, text=text)
-    sampled = rows.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_ONE_IN)) == 0).select("id", stats(F.col("text")).alias("s"))
-    order = plan(sampled, rules)
+    order = sampled_plan(F.col("id"), F.col("text"), rows, rules)
     out = rows.select("id", stats(F.col("text")).alias("s"))
     s = F.col("s")
     verdict = F.when(base_failed(s), F.lit(False))
@@ -143,3 +147,16 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules=RUL
         base_failed(s).alias("base_failed"),
         verdict.otherwise(F.lit(True)).alias("kept"),
     )
+
+
+def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules=BASE + RULES) -> DataFrame:
+    """The rows of docs that no rule rejects, with all their columns.
+
+    A row's counts are worked out rule by rule, in the planned order, and no further once a
+    rule rejects it. Null, empty and repeated rows are judged as by judge().
+    """
+    plain, names, c = whole(docs, id=doc_id, text=text)
+    verdict = F.when(F.lit(False), F.lit(False))
+    for r in sampled_plan(c["id"], c["text"], plain, rules):
+        verdict = verdict.when(r.rejects(stats(c["text"], r.fields)), F.lit(False))
+    return plain.where(verdict.otherwise(F.lit(True))).toDF(*names)
