@@ -142,21 +142,29 @@ def write(pages: DataFrame, root: str | None = None, page_id: str = "page_id", u
     revisits = large.join(firsts, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
     lo, width, shards = shard_plan(narrow)
     shard_of = spark.createDataFrame(list(enumerate(shards)), "bin long, shard int")  # at most BINS rows
-    joined = rows.join(revisits, ["page_id", "digest"], "left").withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
+    # a revisit's decision goes to its shard beside the pages, and sorts before its page
+    decided = revisits.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "digest", F.lit(None).cast("long").alias("n"), "refers_to", F.lit(0).alias("kind"))
+    pages_too = rows.select("page_id", "url", "payload", "digest", "n", F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind"))
     placed = (
-        joined.withColumn("bin", F.coalesce(F.expr(f"(page_id - {lo}) div {width}"), F.lit(0)))
+        decided.unionAll(pages_too)
+        .withColumn("bin", F.coalesce(F.expr(f"(page_id - {lo}) div {width}"), F.lit(0)))
         .join(F.broadcast(shard_of), "bin", "left")
-        .select(F.coalesce("shard", F.lit(0)).alias("shard"), "page_id", "url", "payload", "n", "digest", "refers_to")
+        .select(F.coalesce("shard", F.lit(0)).alias("shard"), "page_id", "url", "payload", "n", "digest", "refers_to", "kind")
         .repartition(shards[-1] + 1, "shard")
-        .sortWithinPartitions("shard", "page_id", "digest", "url")
+        .sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     )
     _make_dir(spark, root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, done = None, []
+        current, done, first = None, [], (None, None, None)
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns)):
-                shard, page, target, body, size, digest, refers_to = r
+                shard, page, target, body, size, digest, refers_to, kind = r
+                if kind == 0:
+                    first = page, digest, refers_to
+                    continue
+                refers_to = first[2] if first[:2] == (page, digest) else None
+                body = body if refers_to is None else None
                 if current is None or current.shard != shard:
                     if current is not None:
                         current.close()
