@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words that one Python worker remembers the hash of; the memo is emptied when full.
-MEMO = 400_000
+MEMO = 300_000
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -54,7 +55,14 @@ def staged(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends here."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", compression).parquet(path)
+    # nothing reads this write's shuffles again, so their files go with it
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        df.select("*").write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
@@ -79,18 +87,46 @@ def word_array(text: Column) -> Column:
 
 
 class WordHash(dict):
-    """Memo from a word (bytes) to its 64-bit hash."""
+    """Memo from a word (bytes) to its 64-bit hash. When full, it starts anew with the words met again."""
+
+    older: dict = {}
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO:
+            self.older = dict(self)
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = self.older.get(word)
+        if value is None:
+            value = xxhash.xxh64_intdigest(word)
+        self[word] = value
         return value
 
 
-def words_of(text: str | None) -> list[bytes]:
+def utf8(text: pa.StringScalar) -> bytes:
+    """The bytes of an Arrow string; null is empty."""
+    return text.as_buffer().to_pybytes() if text.is_valid else b""
+
+
+def words_of(text: bytes) -> list[bytes]:
     """Lower-case A-Z, then split at ASCII white space."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    return text.lower().split()
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order without repeats, and the place of each key there.
+
+    Sorts the high bits with positions in the low ones, which is several times faster than an
+    argsort. Two keys with equal high bits may then come in turns and repeat in the result.
+    """
+    n = len(keys)
+    low = np.uint64((1 << max(1, n.bit_length())) - 1)
+    order = (np.sort((keys & ~low) | np.arange(n, dtype=np.uint64)) & low).astype(np.int64)
+    ordered = keys[order]
+    first = np.ones(n, bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    place = np.empty(n, np.int64)
+    place[order] = np.cumsum(first) - 1
+    return ordered[first], place
 
 
 def hashed(words: list[bytes], memo: WordHash) -> np.ndarray:

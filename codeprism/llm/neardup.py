@@ -6,9 +6,10 @@ candidates by bit counts, corrected for chance collisions. What may reach the th
 confirmed on the full sets, and confirmed links make the components.
 
 No group emits all its pairs. Documents with equal sets are first collapsed to one. Then each
-group's members meet its smallest id only; groups that still hold more than one component
-send the most similar pair of each two components, and what then remains sends the pairs that
-the estimate does not rule out. Large groups are cut into blocks for this.
+group's members meet its smallest id only. Where a group still holds several components, the
+estimate says which of them may be linked; of those a spanning forest is kept, whose trees are
+families of components. In a family the sets of all but the largest component meet the sets
+of the whole family, block by block, through an inverted index, so that no pair is a row.
 
 The chance that BANDS bands miss a pair at the threshold is (1 - 0.75^4)^32, 5 in a million;
 the estimate's cut lies four standard deviations below the threshold.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, drop_staged, hashed, mix, pick, staged, whole, words_of
+from .common import WordHash, drop_staged, hashed, mix, pick, staged, utf8, whole, words_of
 from .graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -32,8 +33,9 @@ BANDS, ROWS, B = 32, 4, 4
 HASHES = BANDS * ROWS
 LONGS = HASHES * B // 64
 CUT = 0.59
-#: Shingles hashed at once, members of a block of a large group, documents that share a copy of a hub.
-CHUNK, BLOCK, SHARE = 1 << 16, 2048, 64
+#: Shingles hashed at once, members of a block of a large group, documents that share a copy
+#: of a hub, shingles in a block of a family.
+CHUNK, BLOCK, SHARE, FAMILY = 1 << 16, 2048, 64, 1_000_000
 #: Rows up to which the list of documents to confirm is broadcast; beyond, texts are shuffled.
 BROADCAST_ROWS = 200_000
 SIG = [f"s{i}" for i in range(LONGS)]
@@ -50,7 +52,7 @@ def memo() -> WordHash:
     return WordHash()
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: bytes) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes; a text of fewer than SHINGLE words is one shingle."""
     w = hashed(words_of(text), memo())
     n = len(w)
@@ -89,7 +91,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             while at < b.num_rows:
                 first, sets, size = at, [], 0
                 while at < b.num_rows and (size < CHUNK or at == first):
-                    sets.append(shingles(texts[at].as_py()))
+                    sets.append(shingles(utf8(texts[at])))
                     size += len(sets[-1])
                     at += 1
                 n = np.array(list(map(len, sets)))
@@ -132,20 +134,8 @@ def estimate(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return joined.where(sizes & ((same / HASHES - chance) / (1 - chance) >= CUT)).select("a", "b")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose full sets reach the threshold.
-
-    A hub's set is sent once for every SHARE of its pairs, each other set once per pair; the
-    sets of a share pass by one at a time.
-    """
-    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
-    dealt = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), "shares").alias("share"))
-    wanted = (
-        dealt.select(F.col("b").alias("doc_id"), "a", "share", F.lit(1).alias("kind"))
-        .unionAll(dealt.select(F.col("a").alias("doc_id"), "a", "share", F.lit(0).alias("kind")).distinct())
-    )
-    wanted = staged(wanted, "wanted")
-    rows = wanted.count()
+def with_sets(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """wanted (doc_id, group, part, kind) with `data`, the set of the document's text."""
     texts = docs.join(F.broadcast(wanted) if rows <= BROADCAST_ROWS else wanted, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,23 +144,40 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             out = []
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
                 if last is None or last[0] != i or last[1] != text:
-                    last, data = (i, text), shingles(text.as_py()).tobytes()
+                    last, data = (i, text), shingles(utf8(text)).tobytes()
                 out.append(data)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "share", "kind", "doc_id")), pa.array(out, pa.binary())], ["a", "share", "kind", "b", "data"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("group", "part", "kind", "doc_id", "label")), pa.array(out, pa.binary())], SETS)
 
+    made = texts.select("doc_id", "text", "group", "part", "kind", "label")
+    made = made.mapInArrow(sets, "group long, part long, kind int, doc_id long, label long, data binary")
     parts = max(8, rows // 20_000, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = (
-        texts.select("doc_id", "text", "a", "share", "kind")
-        .mapInArrow(sets, "a long, share long, kind int, b long, data binary")
-        .repartition(parts, "a", "share")
-        .sortWithinPartitions("a", "share", "kind")
-    )
+    return made.repartition(parts, "group", "part").sortWithinPartitions("group", "part", "kind")
+
+
+SETS = ["group", "part", "kind", "doc_id", "label", "data"]
+PAIR = "a long, b long"
+
+
+def pairs_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose full sets reach the threshold.
+
+    A hub's set is sent once for every SHARE of its pairs, each other set once per pair; the
+    sets of a share pass by one at a time.
+    """
+    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
+    dealt = pairs.join(degree, "a").select(F.col("a").alias("group"), "b", F.pmod(F.xxhash64("b"), "shares").alias("part"), F.lit(0).cast("long").alias("label"))
+    members = dealt.select(F.col("b").alias("doc_id"), "group", "part", F.lit(1).alias("kind"), "label")
+    wanted = staged(members.unionAll(dealt.select(F.col("group").alias("doc_id"), "group", "part", F.lit(0).alias("kind"), "label").distinct()), "wanted")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, held = None, np.zeros(0, np.uint64)
         for b in batches:
             found: list[tuple[int, int]] = []
-            for a, kind, other, data in zip(*(b.column(c).to_pylist() for c in ("a", "kind", "b")), b.column("data")):
+            for a, kind, other, data in zip(*(b.column(c).to_pylist() for c in ("group", "kind", "doc_id")), b.column("data")):
                 x = np.frombuffer(data.as_buffer(), np.uint64)
                 if kind == 0:
                     hub, held = a, x.copy()
@@ -179,79 +186,144 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     both = int((held[np.minimum(at, len(held) - 1)] == x).sum())
                     if 100 * both >= PERCENT * (len(x) + len(held) - both):
                         found.append((a, other))
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            yield pairs_batch(found)
+
+    return with_sets(docs, wanted, wanted.count()).mapInArrow(compare, PAIR)
+
 
-    return met.select("a", "share", "kind", "b", "data").mapInArrow(compare, "a long, b long")
+def named(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with `label`, the component of doc_id so far."""
+    return rows.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
 
 
-def rest(groups: DataFrame, labels: DataFrame, reps: DataFrame, tested: DataFrame, only_best: bool) -> DataFrame:
-    """Pairs to test in groups that still hold several components, without a group's hub.
+def forest(groups: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of labels: a spanning forest of those that the estimate does not keep apart.
 
-    Groups are cut into blocks of about BLOCK members by hash and every two blocks meet; in a
-    block of pairs the estimate is worked out for members of different components. only_best
-    keeps the most similar pair of every two components.
+    Looks at groups that hold several components, without their hubs, which all members met
+    already. Groups are cut into blocks of about BLOCK members by hash; every two blocks meet.
     """
-    named = groups.where("members > 2 AND doc_id <> hub").join(labels, F.col("doc_id") == F.col("id"), "left")
-    named = named.select("key", "members", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    rows = named.join(mixed, "key").join(reps.select("doc_id", "n_shingles", *SIG), "doc_id")
+    rows = named(groups.where("members > 2 AND doc_id <> hub").select("key", "members", "doc_id"), labels)
+    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    rows = rows.join(mixed, "key").join(reps.select("doc_id", "n_shingles", *SIG), "doc_id")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label", "n_shingles", *SIG)
-    # "i" and "j" name a cell of the group; its rows pass by together
-    cells = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "label", "n_shingles", *SIG)
+    # i and j name a cell of the group; its rows pass by together
+    cells = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def pairs_of(cell: list[tuple]) -> list[tuple[int, int]]:
-        own, ids, label, n = (np.array([r[k] for r in cell], np.int64) for k in range(4))
-        sig = np.array([r[4:] for r in cell], np.int64).view(np.uint64)
+        own, label, n = (np.array([r[k] for r in cell], np.int64) for k in range(3))
+        sig = np.array([r[3:] for r in cell], np.int64).view(np.uint64)
         i, j = own.min(), own.max()
+        root = {x: x for x in label.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
         found = []
         for x in range(len(cell)):
-            others = np.arange(x + 1, len(cell)) if i == j else np.flatnonzero(own == j) if own[x] == i else ()
-            if not len(others):
-                continue
+            others = np.arange(x + 1, len(cell)) if i == j else np.flatnonzero(own == j) if own[x] == i else np.zeros(0, int)
             others = others[label[others] != label[x]]
             others = others[np.minimum(n[others], n[x]) * 100 >= np.maximum(n[others], n[x]) * PERCENT]
             d = sig[others] ^ sig[x]
             d |= d >> np.uint64(1)
             d |= d >> np.uint64(2)
             same = HASHES - np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1)
-            score = (same / HASHES - 2.0**-B) / (1 - 2.0**-B)
-            found += [(-s, *sorted((int(ids[x]), int(ids[y]))), *sorted((int(label[x]), int(label[y])))) for s, y in zip(score, others) if s >= CUT]
-        if only_best:
-            best: dict = {}
-            for f in sorted(found):
-                best.setdefault(f[3:], f)
-            found = list(best.values())
-        return [f[1:3] for f in found]
+            near = others[(same / HASHES - 2.0**-B) / (1 - 2.0**-B) >= CUT]
+            for y in np.unique(label[near]).tolist():
+                a, b = find(int(label[x])), find(y)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    found.append((int(label[x]), y))
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, cell = None, []
-
-        def out(cell: list[tuple]) -> pa.RecordBatch:
-            found = pairs_of(cell) if cell else []
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns)):
                 if r[:3] != at:
-                    yield out(cell)
+                    if cell:
+                        yield pairs_batch(pairs_of(cell))
                     at, cell = r[:3], []
                 cell.append(r[3:])
-        yield out(cell)
+        if cell:
+            yield pairs_batch(pairs_of(cell))
+
+    return cells.mapInArrow(run, PAIR).distinct()
 
-    found = cells.mapInArrow(run, "a long, b long").distinct()
-    return found.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+
+def families(trees: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between the components of a family, at least one for any two that are linked.
+
+    A family's documents are dealt to blocks of about FAMILY shingles by hash; those outside
+    its largest component also visit all other blocks, where they are held against the
+    inverted index of the block.
+    """
+    family = components(trees).select(F.col("id").alias("label"), F.col("component").alias("group"))
+    rows = staged(named(reps.select("doc_id", "n_shingles"), labels).join(family, "label"), "families")
+    per_label = rows.groupBy("group", "label").agg(F.sum("n_shingles").alias("n"))
+    largest = per_label.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.ceil(F.sum("n") / FAMILY).alias("parts"))
+    rows = rows.join(largest, "group").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
+    small = rows.where("label <> main")
+    visits = small.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("to <> part").withColumn("part", F.col("to"))
+    kinds = ((rows.where("label = main"), 0), (small, 1), (visits, 2))  # indexed; indexed and held against; held against
+    wanted = None
+    for some, kind in kinds:
+        some = some.select("doc_id", "group", "part", F.lit(kind).alias("kind"), "label")
+        wanted = some if wanted is None else wanted.unionAll(some)
+    wanted = staged(wanted, "wanted")
+
+    def links(index: list[tuple], probes: list[tuple]) -> list[tuple[int, int]]:
+        data = np.concatenate([x for _, _, x in index])
+        sizes = np.array([len(x) for _, _, x in index])
+        owner = np.repeat(np.arange(len(index)), sizes)
+        order = np.argsort(data, kind="stable")
+        data, owner = data[order], owner[order]
+        label = np.array([k for _, k, _ in index])
+        found = []
+        for i, own, x in probes:
+            lo, hi = np.searchsorted(data, x, "left"), np.searchsorted(data, x, "right")
+            n = hi - lo
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(index))
+            linked = np.flatnonzero((100 * both >= PERCENT * (sizes + len(x) - both)) & (label != own))
+            _, first = np.unique(label[linked], return_index=True)
+            found += [(index[k][0], i) for k in linked[first]]
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, index, probes = None, [], []
+        for b in batches:
+            for group, part, kind, i, label, data in zip(*(b.column(c).to_pylist() for c in SETS[:5]), b.column("data")):
+                if (group, part) != at:
+                    if index and probes:
+                        yield pairs_batch(links(index, probes))
+                    at, index, probes = (group, part), [], []
+                row = (i, label, np.frombuffer(data.as_buffer(), np.uint64).copy())
+                if kind < 2:
+                    index.append(row)
+                if kind > 0:
+                    probes.append(row)
+                if len(probes) >= BLOCK and kind == 2:  # all of the index has passed by
+                    if index:
+                        yield pairs_batch(links(index, probes))
+                    probes = []
+        if index and probes:
+            yield pairs_batch(links(index, probes))
+
+    return with_sets(docs, wanted, wanted.count()).mapInArrow(run, PAIR)
 
 
 def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (id, component) after more links (a, b)."""
 
-    def named(side: str) -> DataFrame:
+    def of(side: str) -> DataFrame:
         return labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
 
-    between = links.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
     between = between.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     joined = components(between)
     old = labels.join(joined.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
@@ -282,18 +354,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     hubs = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("members")).where("members > 1")
     groups = staged(keys.join(hubs, "key").select("key", "doc_id", "hub", "members"), "groups")
     star = groups.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    tested = staged(estimate(star, reps), "tested")
-    labels = staged(components(confirm(tested, rows)), "labels")
-    for only_best in (True, False):
-        more = staged(rest(groups, labels, reps, tested, only_best), "tested")
-        if more.isEmpty():
-            continue
-        labels = merge(labels, confirm(more, rows))
-        tested = tested.unionAll(more)
+    likely = staged(estimate(star, reps), "likely")
+    labels = staged(components(confirm(likely, rows)), "labels")
+    trees = staged(forest(groups, labels, reps), "trees")
+    if not trees.isEmpty():
+        labels = merge(labels, families(trees, labels, reps, rows))
     drop_staged(groups, reps)
-    named = members.join(labels, F.col("rep") == F.col("id"), "left").withColumn("component_id", F.coalesce("component", "rep"))
+    judged = members.join(labels, F.col("rep") == F.col("id"), "left").withColumn("component_id", F.coalesce("component", "rep"))
     same = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return named.select("doc_id", "n_shingles", "component_id", same.alias("kept"))
+    return judged.select("doc_id", "n_shingles", "component_id", same.alias("kept"))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
