@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,14 +103,38 @@ class WordHash(dict):
         return value
 
 
-def utf8(text: pa.StringScalar) -> bytes:
-    """The bytes of an Arrow string; null is empty."""
-    return text.as_buffer().to_pybytes() if text.is_valid else b""
+def word_table(texts: pa.Array, lower: pa.Array | bool = True) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words of Arrow strings as offsets by text, places in a list of distinct words, and that list.
 
-
-def words_of(text: bytes) -> list[bytes]:
-    """Lower-case A-Z, then split at ASCII white space."""
-    return text.lower().split()
+    A-Z are lower-cased (with an array: where it is true), then texts are split at ASCII white
+    space. Null texts have no words.
+    """
+    texts = texts.fill_null("")
+    if lower is True:
+        texts = pc.ascii_lower(texts)
+    elif lower is not False:
+        texts = pc.if_else(lower, pc.ascii_lower(texts), texts)
+    lists = pc.ascii_split_whitespace(texts)
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    offsets = offsets - offsets[0]
+    places, words = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).to_pylist()
+    if b"" in words:  # what a split leaves before leading and after trailing white space
+        full = places != words.index(b"")
+        offsets = np.concatenate([[0], np.cumsum(full)])[offsets]
+        places = places[full]
+    return offsets, places, words
+
+
+def slices(texts: pa.Array, size: int):
+    """(first, last) of runs of texts of about so many bytes, at least one text each."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] - sizes[first] + size, "right")))
+        yield first, last
+        first = last
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +158,13 @@ def hashed(words: list[bytes], memo: WordHash) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def hashed_texts(texts: pa.Array, memo: WordHash) -> list[np.ndarray]:
+    """The word hashes of each text."""
+    offsets, places, words = word_table(texts)
+    all_ = hashed(words, memo)[places] if len(places) else np.zeros(0, np.uint64)
+    return [all_[a:b] for a, b in zip(offsets, offsets[1:])]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finish a 64-bit hash: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))

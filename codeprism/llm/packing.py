@@ -16,26 +16,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MEMO, pick, staged
+from .common import MEMO, pick, slices, staged, word_table
 
 CAPACITY, END = 4096, 2
 #: Pieces that share a rank counter: a share of all, so that no length makes a large group.
 GROUPS, LEAST = 65_536, 64
 #: Punctuation that the tokenizer splits from a letter before it, and longest word kept in the memo.
 TAIL, LONGEST = ".,;:!?*#$%&|", 64
-#: Characters of text worked on at once.
-SLICE = 2 << 20
+#: Bytes of text worked on at once.
+SLICE = 4 << 20
 
 
 class WordIds(dict):
     """Memo from a word (bytes without ASCII white space) to its ids as little-endian bytes.
 
     The tokenizer never joins characters across white space, so the ids of a text are those of
-    its words in order. Ids of a word that ends in punctuation after a letter are those of the
-    word and of the punctuation, as the tokenizer splits there; A-Z and a-z have equal ids.
+    its words in order. Between a letter and punctuation after it the tokenizer splits, so ids
+    of letters with punctuation behind are those of the letters and of the punctuation. Words
+    of letters only are one unit each, whose last id alone bears the end mark: many of them
+    are encoded as one string and told apart by it.
     """
 
     def __init__(self, path: str):
@@ -43,38 +46,68 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.long: dict[bytes, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.older: dict[bytes, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Add all words of some texts."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode_letters(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):  # a letter that the tokenizer's normal form takes apart
+            return self.encode(words)
+        data, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails = {"": b""}
+            self.tails[tail] = self.encode([tail])[0]
+        return self.tails[tail]
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words. When full, the memo starts anew with the words met again."""
         if len(self) > MEMO:
+            self.older = dict(self)
             self.clear()
-        self.long.clear()
-        new = set().union(*texts).difference(self)
-        parts: dict[bytes, tuple[bytes, bytes]] = {}
-        plain: set[bytes] = set()
-        for w in new:
-            text = w.decode("utf-8", "surrogatepass")
-            core = text.rstrip(TAIL)
-            tail = text[len(core) :] if core and core[-1].isalpha() else ""
-            core = text[: len(text) - len(tail)]
-            if core.isascii() and "<|" not in core:
-                core = core.lower()
-            parts[w] = (core.encode("utf-8", "surrogatepass"), tail.encode())
-            plain.update(x for x in parts[w] if x)
-        unknown = list(plain.difference(self))
-        got = dict(zip(unknown, self.encode([w.decode("utf-8", "replace") for w in unknown])))
-        for w, (core, tail) in parts.items():
-            got.setdefault(w, b"".join((got.get(x) if x in got else self[x]) for x in (core, tail) if x))
-        for w, ids in got.items():
-            (self if len(w) <= LONGEST else self.long)[w] = ids
-
-    def __missing__(self, word: bytes) -> bytes:
-        return self.long[word]
+        out = list(map(self.get, words))
+        new = []
+        for k, (w, x) in enumerate(zip(words, out)):
+            if x is None:
+                x = self.older.get(w)
+                if x is None:
+                    new.append(k)
+                else:
+                    out[k] = self[w] = x
+        if not new:
+            return out
+        cores: dict[str, int] = {}
+        whole, tailed, odd = [], [], []
+        for k, s in zip(new, b" ".join([words[k] for k in new]).decode("utf-8", "replace").split(" ")):
+            if s.isalpha():
+                whole.append((k, cores.setdefault(s, len(cores))))
+                continue
+            core = s.rstrip(TAIL)
+            if core.isalpha():
+                tailed.append((k, cores.setdefault(core, len(cores)), s[len(core) :]))
+            else:
+                odd.append((k, s))
+        ids = self.encode_letters(list(cores))
+        for k, core in whole:
+            out[k] = ids[core]
+        for k, core, tail in tailed:
+            out[k] = ids[core] + self.tail(tail)
+        for (k, _), x in zip(odd, self.encode([s for _, s in odd])):
+            out[k] = x
+        self.update([(words[k], out[k]) for k in new if len(words[k]) <= LONGEST])
+        return out
 
 
 @functools.cache
@@ -91,23 +124,23 @@ def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_ids(path)
         for b in batches:
-            texts = b.column("text")
-            at = 0
-            while at < b.num_rows:
-                words, size, first = [], 0, at
-                while at < b.num_rows and (size < SLICE or at == first):
-                    data = (texts[at].as_py() or "").encode("utf-8", "surrogatepass")
-                    size += len(data)
-                    words.append(data.split())
-                    at += 1
-                memo.learn(words)
+            for first, last in slices(b.column("text"), SLICE):
+                texts = b.column("text").slice(first, last - first).fill_null("")
+                # the tokenizer takes its special tokens before it lower-cases
+                offsets, places, words = word_table(texts, pc.invert(pc.match_substring(texts, "<|")))
+                of_word = memo.ids(words)
+                flat, sizes = np.frombuffer(b"".join(of_word), "<u4"), np.fromiter(map(len, of_word), np.int64, len(of_word)) // 4
+                starts = np.cumsum(sizes) - sizes
+                n = sizes[places]
+                until = np.concatenate([[0], np.cumsum(n)])
+                ids = flat[np.repeat(starts[places] - until[:-1], n) + np.arange(until[-1])].tobytes()
                 rows: list[tuple[int, int, int, int, int]] = []
-                for i, ws in enumerate(words):
-                    ids = b"".join(map(memo.__getitem__, ws)) + end
-                    n = len(ids) // 4
-                    for start in range(0, n, capacity):
-                        part = ids[4 * start : 4 * (start + capacity)]
-                        rows.append((first + i, start, len(part) // 4, zlib.crc32(part), n))
+                for i, (a, e) in enumerate(zip(until[offsets], until[offsets[1:]])):
+                    text = ids[4 * a : 4 * e] + end
+                    total = len(text) // 4
+                    for start in range(0, total, capacity):
+                        part = text[4 * start : 4 * (start + capacity)]
+                        rows.append((first + i, start, len(part) // 4, zlib.crc32(part), total))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:])],
