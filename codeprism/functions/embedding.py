@@ -6,9 +6,12 @@ import hashlib
 import math
 import struct
 
-import pandas as pd
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import feature_tokens
 
@@ -32,16 +35,18 @@ def hash_tokens(tokens, dimensions: int = DIMENSIONS) -> list[float]:
     return out
 
 
-def embed(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Embedding of a text as array<double>. The hash has no built-in, so this runs in Arrow batches."""
+def with_embedding(df: DataFrame, text: Column, name: str = "vector", dimensions: int = DIMENSIONS) -> DataFrame:
+    """df with the embedding of a text as array<double>. The hash has no built-in, so this runs in Arrow batches."""
     if dimensions < LEAST:
         raise ValueError(f"an embedding has at least {LEAST} dimensions")
+    rows, names = df.withColumn("_tokens", feature_tokens(text)), df.columns
 
-    @F.pandas_udf("array<double>")
-    def run(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda t: hash_tokens(t, dimensions))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vectors = pa.array([hash_tokens(t, dimensions) for t in b.column("_tokens").to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), vectors], [*names, name])
 
-    return run(feature_tokens(text))
+    return rows.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
 
 def magnitude(vector: Column) -> Column:

@@ -15,6 +15,11 @@ QUERY_TERM = r"(?U)[\w:]+"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate value once and pass it to body: columns used in lambdas may be worked out again per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 @functools.cache
 def unaccented() -> tuple[str, str]:
     """Letters that decompose into one base letter and marks, and those base letters."""

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.embedding import cosine, is_valid
-from ..functions.text import phrases, tokens
+from ..functions.text import let, phrases, tokens
 from .lookups import scope_filter, standalone
 from .page import bounded_page, checked_limit
 
@@ -44,16 +44,20 @@ def bm25(df: DataFrame, query: str, weights: dict[str, float], indexed: tuple[st
     if not terms:
         return None
     names = [c for c in indexed if c in df.columns]
-    tokened = df.withColumn("_tokens", F.struct(*[tokens(F.col(c)).alias(c) for c in names]))
-    length = functools.reduce(operator.add, [F.size(F.col("_tokens")[c]) for c in names])
-    count = lambda c, t: phrase_count(F.col("_tokens")[c], t)
-    if per_column:
-        tf = [count(c, t) * w for t in terms for c, w in weights.items() if c in names]
-    else:
-        tf = [functools.reduce(operator.add, [count(c, t) * w for c, w in weights.items() if c in names]) for t in terms]
-    counted = tokened.withColumn("_d", length).withColumn("_tf", F.array(*[x.cast("double") for x in tf])).drop("_tokens")
+
+    def counted_tokens(t: Column) -> Column:
+        length = functools.reduce(operator.add, [F.size(t[c]) for c in names])
+        if per_column:
+            tf = [phrase_count(t[c], p) * w for p in terms for c, w in weights.items() if c in names]
+        else:
+            tf = [functools.reduce(operator.add, [phrase_count(t[c], p) * w for c, w in weights.items() if c in names]) for p in terms]
+        return F.struct(length.alias("d"), F.array(*[x.cast("double") for x in tf]).alias("tf"))
+
+    width = len(terms) * (len([c for c in weights if c in names]) if per_column else 1)
+    once = let(F.struct(*[tokens(F.col(c)).alias(c) for c in names]), counted_tokens)
+    counted = df.withColumn("_c", once).withColumn("_d", F.col("_c.d")).withColumn("_tf", F.col("_c.tf"))
     stats = counted.agg(
-        F.count("*").alias("_n"), F.avg("_d").alias("_avg"), F.array(*[F.count_if(F.col("_tf")[i] > 0) for i in range(len(tf))]).alias("_df")
+        F.count("*").alias("_n"), F.avg("_d").alias("_avg"), F.array(*[F.count_if(F.col("_tf")[i] > 0) for i in range(width)]).alias("_df")
     )
     joined = counted.where(F.exists("_tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # one row of statistics
 
@@ -63,8 +67,8 @@ def bm25(df: DataFrame, query: str, weights: dict[str, float], indexed: tuple[st
         idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
         return idf * x * (K1 + 1) / (x + K1 * (1 - B + B * F.col("_d") / F.col("_avg")))
 
-    score = functools.reduce(operator.add, [part(i) for i in range(len(tf))])
-    return joined.withColumn("score", score).drop("_d", "_tf", "_n", "_avg", "_df")
+    score = functools.reduce(operator.add, [part(i) for i in range(width)])
+    return joined.withColumn("score", score).drop("_c", "_d", "_tf", "_n", "_avg", "_df")
 
 
 def empty(df: DataFrame) -> DataFrame:
