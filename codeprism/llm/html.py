@@ -127,7 +127,7 @@ def stretches(lengths: list[int], surge: int) -> list[tuple[int, int]]:
     sums = [sum(lengths[i : i + WINDOW]) for i in range(n)]
     out, start = [], None
     for i, s in enumerate(sums):
-        if start is None and s > surge and lengths[i]:
+        if start is None and s > surge and lengths[i] > surge // 4:  # a short line before the surge is none of it
             start = i
         elif start is not None and s == 0:
             out.append((start, i))

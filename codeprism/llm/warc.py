@@ -150,7 +150,7 @@ def write(pages: DataFrame, root: str | None = None, page_id: str = "page_id", u
         .withColumn("bin", F.coalesce(F.expr(f"(page_id - {lo}) div {width}"), F.lit(0)))
         .join(F.broadcast(shard_of), "bin", "left")
         .select(F.coalesce("shard", F.lit(0)).alias("shard"), "page_id", "url", "payload", "n", "digest", "refers_to", "kind")
-        .repartition(shards[-1] + 1, "shard")
+        .repartitionById(shards[-1] + 1, F.col("shard"))
         .sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     )
     _make_dir(spark, root)
