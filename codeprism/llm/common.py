@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -52,18 +53,31 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{work_root(spark)}/codeprism-{tag}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the time of a block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Nothing reads the shuffles of a staged write again, so their files go with it.
+CLEANUP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: For rows with large binary columns.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def staged(df: DataFrame, tag: str, conf: dict[str, str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends here."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    # nothing reads this write's shuffles again, so their files go with it
-    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(setting, "false")
-    spark.conf.set(setting, "true")
-    try:
-        df.select("*").write.option("compression", compression).parquet(path)
-    finally:
-        spark.conf.set(setting, before)
+    with settings(spark, CLEANUP | (conf or {})):
+        df.select("*").write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, drop_staged, hashed, mix, pick, staged, utf8, whole, words_of
+from .common import WordHash, drop_staged, hashed_texts, mix, pick, slices, staged, whole
 from .graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -36,6 +36,8 @@ CUT = 0.59
 #: Shingles hashed at once, members of a block of a large group, documents that share a copy
 #: of a hub, shingles in a block of a family.
 CHUNK, BLOCK, SHARE, FAMILY = 1 << 16, 2048, 64, 1_000_000
+#: Bytes of text split at once.
+SLICE = 4 << 20
 #: Rows up to which the list of documents to confirm is broadcast; beyond, texts are shuffled.
 BROADCAST_ROWS = 200_000
 SIG = [f"s{i}" for i in range(LONGS)]
@@ -52,9 +54,8 @@ def memo() -> WordHash:
     return WordHash()
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes; a text of fewer than SHINGLE words is one shingle."""
-    w = hashed(words_of(text), memo())
+def shingles(w: np.ndarray) -> np.ndarray:
+    """Sorted distinct 64-bit shingle hashes of word hashes; fewer than SHINGLE words are one shingle."""
     n = len(w)
     if n == 0:
         return w
@@ -64,6 +65,24 @@ def shingles(text: bytes) -> np.ndarray:
         return np.unique(mix(out ^ np.uint64(size)))
 
 
+def sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
+    for first, last in slices(texts, SLICE):
+        yield from map(shingles, hashed_texts(texts.slice(first, last - first), memo()))
+
+
+def chunked(texts: pa.Array) -> Iterator[tuple[list[np.ndarray], int]]:
+    """Sets of about CHUNK shingles together, with the place of the first."""
+    first, sets, size = 0, [], 0
+    for x in sets_of(texts):
+        if sets and size + len(x) > CHUNK:
+            yield sets, first
+            first, sets, size = first + len(sets), [], 0
+        sets.append(x)
+        size += len(x)
+    if sets:
+        yield sets, first
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, h1, h2 (128 bits that stand for the set), s0.. and bands."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -87,13 +106,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, at = b.column("text"), 0
-            while at < b.num_rows:
-                first, sets, size = at, [], 0
-                while at < b.num_rows and (size < CHUNK or at == first):
-                    sets.append(shingles(utf8(texts[at])))
-                    size += len(sets[-1])
-                    at += 1
+            for sets, first in chunked(b.column("text")):
                 n = np.array(list(map(len, sets)))
                 full = np.flatnonzero(n)
                 sig, keys = np.zeros((len(sets), LONGS), np.int64), np.zeros((0, BANDS), np.int64)
@@ -105,7 +118,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                             h[:, i] = mix(sets[i]).sum(), mix(sets[i] * np.uint64(3)).sum()
                 offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(first, at - first), pa.array(n, pa.int64()), *(pa.array(x.view(np.int64)) for x in h)]
+                    [b.column("doc_id").slice(first, len(sets)), pa.array(n, pa.int64()), *(pa.array(x.view(np.int64)) for x in h)]
                     + [pa.array(sig[:, i]) for i in range(LONGS)]
                     + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))],
                     ["doc_id", "n_shingles", "h1", "h2", *SIG, "bands"],
@@ -139,13 +152,12 @@ def with_sets(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
     texts = docs.join(F.broadcast(wanted) if rows <= BROADCAST_ROWS else wanted, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, data = None, b""
         for b in batches:
-            out = []
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                if last is None or last[0] != i or last[1] != text:
-                    last, data = (i, text), shingles(utf8(text)).tobytes()
-                out.append(data)
+            # a document that is wanted several times comes in neighbouring rows: work its set out once
+            ids, texts = b.column("doc_id").to_pylist(), b.column("text")
+            firsts = [k for k in range(len(ids)) if not k or ids[k] != ids[k - 1] or texts[k] != texts[k - 1]]
+            made = [x.tobytes() for x in sets_of(texts.take(pa.array(firsts, pa.int64())))]
+            out = [made[k] for k in np.searchsorted(firsts, np.arange(len(ids)), "right") - 1]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("group", "part", "kind", "doc_id", "label")), pa.array(out, pa.binary())], SETS)
 
     made = texts.select("doc_id", "text", "group", "part", "kind", "label")
