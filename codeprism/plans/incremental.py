@@ -11,6 +11,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import graph, lookups, solver
 from ..sources.schemas import VERSION
@@ -114,7 +115,7 @@ class Store:
     def manifest(self) -> dict:
         at = self.path(f"{self.root}/MANIFEST.json")
         if not self.fs.exists(at):
-            return {"version": VERSION, "snapshot": 0, "tables": {}}
+            return {"version": VERSION, "snapshot": 0, "tables": {}, "schemas": {}}
         text = "\n".join(r[0] for r in self.spark.read.text(at.toString()).collect())
         return json.loads(text)
 
@@ -122,7 +123,8 @@ class Store:
         m = self.manifest()
         if m["version"] > VERSION:
             raise ValueError(f"schema version {m['version']} is newer than {VERSION}")
-        return self.spark.read.parquet(f"{self.root}/{m['tables'][name]}")
+        schema = T.StructType.fromJson(m["schemas"][name])
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{m['tables'][name]}")
 
     def commit(self, tables: dict[str, DataFrame]) -> int:
         """Write tables into a new snapshot, keep the others, and switch the manifest by a rename."""
@@ -132,6 +134,7 @@ class Store:
             writer = df.write.mode("overwrite")
             (writer.partitionBy("build_variant") if "build_variant" in df.columns else writer).parquet(f"{self.root}/snapshot-{n}/{name}")
         new = {"version": VERSION, "snapshot": n, "tables": m["tables"] | {t: f"snapshot-{n}/{t}" for t in tables}}
+        new["schemas"] = m["schemas"] | {t: df.schema.jsonValue() for t, df in tables.items()}
         temp, final = self.path(f"{self.root}/.MANIFEST.{n}"), self.path(f"{self.root}/MANIFEST.json")
         out = self.fs.create(temp, True)
         out.write(bytearray(json.dumps(new).encode()))

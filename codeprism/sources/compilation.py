@@ -7,6 +7,7 @@ import shlex
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ids import stable_id
 
@@ -18,7 +19,7 @@ DROPPED = ("-c", "-M", "-MM", "-MD", "-MMD", "-MG", "-MP")
 PATH_OPTIONS = ("-I", "-isystem", "-iquote", "-idirafter", "-include", "-imacros", "-isysroot", "--sysroot")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def shell_split(command: pd.Series) -> pd.Series:
     """Words of a POSIX shell command; null for null. There is no built-in for quoting rules."""
     return command.map(lambda c: None if c is None else shlex.split(c, posix=True))
@@ -54,7 +55,7 @@ def normalise(arguments: list[str], directory: str, source: str) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def compiler_arguments(arguments: pd.Series, directory: pd.Series, source: pd.Series) -> pd.Series:
     return pd.Series([None if a is None else normalise(list(a), d, s) for a, d, s in zip(arguments, directory, source)], dtype=object)
 

@@ -104,5 +104,5 @@ def tables(facts: DataFrame) -> dict[str, DataFrame]:
     for kind, name in KINDS.items():
         t = table(facts, kind)
         key = [c for c in ("id",) if c in t.columns]
-        out[name] = t.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*t.columns)))).where("_n = 1").drop("_n") if key else t
+        out[name] = t.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.to_json(F.struct(*t.columns))))).where("_n = 1").drop("_n") if key else t
     return out
