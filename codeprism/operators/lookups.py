@@ -15,6 +15,15 @@ def scope_filter(df: DataFrame, scope: tuple[str, ...] | None) -> DataFrame:
     return df if scope is None else df.where(F.col("build_variant").isin(*scope))
 
 
+def project_of(projects: DataFrame, name: str | None = None) -> str:
+    """The id of the project asked for; without a name, of the only one there is."""
+    rows = projects.where(F.col("root") == name) if name is not None else projects
+    found = rows.select("id").limit(2).collect()
+    if len(found) != 1:
+        raise ValueError("there is no such project" if not found else "a project must be named, as there are several")
+    return found[0]["id"]
+
+
 def checked_scope(names: tuple[str, ...]) -> tuple[str, ...]:
     """Ordered distinct build names: 1 to 16, without white space, of up to 128 characters."""
     names = tuple(dict.fromkeys(names))

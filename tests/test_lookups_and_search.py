@@ -127,3 +127,11 @@ def test_fusion_counts_a_repeat_once_but_lets_it_take_a_rank(spark):
     got = {r["key"]: r for r in fusion.fuse(ranked).collect()}
     assert got["a"]["score"] == pytest.approx(1 / 61) and got["b"]["score"] == pytest.approx(1 / 63 + 1.15 / 61) and got["c"]["score"] == pytest.approx(0.9 / 61)
     assert (got["b"]["first_backend"], got["b"]["first_rank"]) == (0, 3)
+
+
+def test_the_only_project_is_chosen(spark):
+    projects = spark.createDataFrame([("p1", "/a"), ("p2", "/b")], "id string, root string")
+    assert lookups.project_of(projects, "/b") == "p2" and lookups.project_of(projects.limit(1)) == "p1"
+    for bad in ((projects,), (projects, "/c"), (projects.limit(0),)):
+        with pytest.raises(ValueError):
+            lookups.project_of(*bad)
