@@ -1,8 +1,8 @@
 """Scores of a probabilistic suffix tree over words.
 
 The tree's root is the smoothed unigram distribution. A context of up to DEPTH words is a
-node if it was seen NMIN times or more in training and its next-word distribution diverges
-from that of its suffix: the gain in log-likelihood over the suffix, which is its count times
+node if its suffix is one, it was seen NMIN times or more in training and its next-word
+distribution diverges from that of its suffix: the gain in log-likelihood over the suffix, which is its count times
 the Kullback-Leibler divergence, must reach GAIN. A node discounts each next word seen twice
 or more by DISCOUNT and gives the rest of its mass to its suffix, so every distribution sums
 to one. A word is scored by the longest suffix of what comes before that is a node, which
@@ -18,7 +18,6 @@ with the corpus. Divergence and the number of distinct next words are sums over
 from __future__ import annotations
 
 import functools
-import uuid
 import zlib
 from collections.abc import Generator, Iterator
 
@@ -29,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, drop_staged, hashed, mix, new_path, pick, staged, words_of
+from .common import SMALL_BATCHES, WordHash, distinct, drop_staged, hashed_texts, mix, pick, slices, staged
 
 FOLDS, HELD_OUT = 5, 1
 DEPTH, NMIN, DISCOUNT, GAIN = 2, 16, 0.75, 4.0
-#: Tokens in a chunk, keys in a range.
-CHUNK, RANGE = 1_500_000, 2_000_000
+#: Tokens in a chunk, keys in a range, bytes of text split at once.
+CHUNK, RANGE, SLICE = 600_000, 2_000_000, 4 << 20
 #: The end of a text, which no word can equal, as it holds white space.
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 ODD, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -50,18 +49,21 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """Rows of whole texts: chunk, vocab (sorted word hashes), codes (a word's place there), ids, sizes."""
+    """Rows of whole texts: chunk, vocab (word hashes, frequent ones first), codes (a word's place there), ids, sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq, ids, parts, size = 0, [], [], 0
 
         def out() -> pa.RecordBatch:
-            vocab, codes = np.unique(np.concatenate(parts), return_inverse=True)
+            vocab, codes = np.unique(np.concatenate(parts), return_inverse=True)  # truly without repeats
+            by_count = np.argsort(-np.bincount(codes), kind="stable")  # small codes for frequent words compress better
+            rank = np.empty(len(vocab), np.uint32)
+            rank[by_count] = np.arange(len(vocab), dtype=np.uint32)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([f"{TaskContext.get().partitionId()}-{seq}"]),
-                    pa.array([vocab.tobytes()], pa.binary()),
-                    pa.array([codes.astype(np.uint32).tobytes()], pa.binary()),
+                    pa.array([vocab[by_count].tobytes()], pa.binary()),
+                    pa.array([planes(rank[codes])], pa.binary()),
                     pa.array([ids], pa.list_(pa.int64())),
                     pa.array([[len(p) for p in parts]], pa.list_(pa.int64())),
                     pa.array([len(vocab)], pa.int64()),
@@ -71,104 +73,157 @@ def chunks(docs: DataFrame) -> DataFrame:
             )
 
         for b in batches:
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                part = np.append(hashed(words_of(text.as_py()), memo()), END)
-                if parts and size + len(part) > CHUNK:
-                    yield out()
-                    seq, ids, parts, size = seq + 1, [], [], 0
-                ids.append(i)
-                parts.append(part)
-                size += len(part)
+            of_batch = b.column("doc_id").to_pylist()
+            for first, last in slices(b.column("text"), SLICE):
+                for i, words in zip(of_batch[first:last], hashed_texts(b.column("text").slice(first, last - first), memo())):
+                    part = np.append(words, END)
+                    if parts and size + len(part) > CHUNK:
+                        yield out()
+                        seq, ids, parts, size = seq + 1, [], [], 0
+                    ids.append(i)
+                    parts.append(part)
+                    size += len(part)
         if parts:
             yield out()
 
     return docs.mapInArrow(run, "chunk string, vocab binary, codes binary, ids array<long>, sizes array<long>, words long, tokens long")
 
 
+#: Phases of questions, by round: counts of words; counts of n-grams of depth 1; sums over the
+#: contexts of depth 1 and counts of n-grams of depth 2; and so on. Odd phases sum, even ones count.
+ROUNDS = [(0,), (2,)] + [(2 * d - 1, 2 * d + 2) for d in range(1, DEPTH)] + [(2 * DEPTH - 1,)]
+
+
 def score(chunk: dict, corpus: tuple[int, int]) -> Generator:
-    """Yields requests (keys, values) and gets their sums over all chunks; returns the scores.
+    """Yields {phase: (keys, values)} and gets {phase: an answer per key}; returns the scores.
 
-    Keys are sorted and distinct. corpus has the training tokens and distinct words, known
-    once the first request is answered.
+    Keys are in order. corpus has the training tokens and distinct words, known once the first
+    question is answered.
     """
-    vocab, codes = np.frombuffer(chunk["vocab"], np.uint64), np.frombuffer(chunk["codes"], np.uint32)
+    vocab = np.frombuffer(chunk["vocab"], np.uint64)
+    order = np.argsort(vocab)
+    rank = np.empty(len(vocab), np.int64)
+    rank[order] = np.arange(len(vocab))
+    vocab, codes = vocab[order], rank[from_planes(chunk["codes"], np.uint32)]
     sizes = np.array(chunk["sizes"])
     held = np.array([held_out(i) for i in chunk["ids"]], bool)
     train = np.repeat(~held, sizes)
     starts = np.cumsum(sizes) - sizes
     place = np.arange(len(codes)) - np.repeat(starts, sizes)  # of a token in its text
+    end = np.searchsorted(vocab, END)
 
-    counts = yield vocab, np.bincount(codes[train], minlength=len(vocab)).astype(np.uint32)[:, None]
-    counts = counts[:, 0].astype(np.float64)
+    counts = (yield {0: (vocab, np.bincount(codes[train], minlength=len(vocab)).astype(np.uint32)[:, None])})[0][:, 0]
     tokens, words = corpus
-    seen = counts[codes]
-    p = base = (seen + 0.5) / (tokens + 0.5 * (words + 1))
+    seen = counts[codes].astype(np.float64)
+    unigram = np.log((counts + 0.5) / (tokens + 0.5 * (words + 1)))
+    p = np.exp(unigram)[codes]
     word = vocab[codes]
-    context = np.zeros(len(codes), np.uint64)
-    n = count = seen  # n: how often the context was seen; count: that and the word
-    for depth in range(1, DEPTH + 1):
-        # extend the context by one more word to the left; the text's end stands before its start
+
+    def grams(depth: int, context: np.ndarray, count: np.ndarray):
+        """Contexts of one more word to the left, how often they were seen, and who asks for what."""
+        # the text's end stands before its start
         before = np.full(len(codes), END)
-        before[depth:] = word[:-depth] if len(codes) > depth else before[depth:]
+        before[depth:] = word[:-depth]
         before[place == depth - 1] = END
         with np.errstate(over="ignore"):
             context = mix(context * ODD ^ (before + np.uint64(depth)))
-            key = mix(context * TURN ^ word)
         # a context of this depth is the n-gram that the token before ended
-        last = np.zeros(len(codes))
-        last[1:] = count[:-1]
+        n = np.zeros(len(codes))
+        n[1:] = count[:-1]
+        n[place < depth - 1] = 0
         if depth == 1:
-            last[place == 0] = counts[np.searchsorted(vocab, END)]
-        else:
-            last[place < depth - 1] = 0
-        able = np.flatnonzero((last >= NMIN) & (count >= 2))
-        keys, at = np.unique(key[able], return_inverse=True)
-        got = yield keys, np.bincount(at, weights=train[able], minlength=len(keys)).astype(np.uint32)[:, None]
-        n, below, count = last, p, np.zeros(len(codes))
-        count[able] = got[at, 0]
-        stored = count >= 2
-        count[~stored] = 0
-        # sums over the occurrences in training of each context
-        asked = np.flatnonzero(n >= NMIN)
-        keys, first, at = np.unique(context[asked], return_index=True, return_inverse=True)
-        sums = np.zeros((len(keys), 3), np.float32)
-        use = (stored & train)[asked]
-        where = asked[use]
-        for k, x in enumerate((np.ones(len(where)), 1 / count[where], np.log((count[where] - DISCOUNT) / n[where] / below[where]))):
-            sums[:, k] = np.bincount(at[use], weights=x, minlength=len(keys))
-        got = yield keys, sums
-        covered, types, gain = got.astype(np.float64).T
-        total = n[asked][first]
-        rest = 1 - (covered - DISCOUNT * types) / total if len(keys) else total
-        node = gain + (total - covered) * np.log(np.maximum(rest, 1e-12)) >= GAIN
-        rest = np.where(node, rest, 1.0)
-        p = below.copy()
-        p[asked] *= rest[at]
-        hit = stored[asked] & node[at]
+            n[place == 0] = counts[end]
+        able = np.flatnonzero((n >= NMIN) & (count >= 2))
+        with np.errstate(over="ignore"):
+            keys, at = distinct(mix(context[able] * TURN ^ word[able]))
+        return context, n, able, at, (keys, np.bincount(at, weights=train[able], minlength=len(keys)).astype(np.uint32)[:, None])
+
+    context, n, able, at, question = grams(1, np.zeros(len(codes), np.uint64), seen)
+    answer = yield {2: question}
+    inner = np.ones(len(codes), bool)  # whether the suffix of a position's context is a node
+    for depth in range(1, DEPTH + 1):
+        count = np.zeros(len(codes))
+        count[able] = answer[2 * depth][at, 0]
+        # how often each context was seen, and sums over its occurrences in training
+        asked = np.flatnonzero((n >= NMIN) & inner)
+        keys, whose = distinct(context[asked])
+        total = np.zeros(len(keys))
+        total[whose] = n[asked]
+        use = (count[asked] > 0) & train[asked]
+        where, by = asked[use], whose[use]
+        gains = np.log((count[where] - DISCOUNT) / n[where] / p[where])
+        sums = [np.bincount(by, weights=x, minlength=len(keys)) for x in (None, 1 / count[where], gains)]
+        question = {2 * depth - 1: (keys, np.stack([total, *sums], axis=1).astype(np.float32))}
+        if depth < DEPTH:
+            deeper = grams(depth + 1, context, count)
+            question[2 * depth + 2] = deeper[-1]
+        answer = yield question
+        rest = answer[2 * depth - 1][:, 0].astype(np.float64)
+        node = rest < 1
+        p[asked] *= rest[whose]
+        hit = (count[asked] > 0) & node[whose]
         p[asked[hit]] += (count[asked[hit]] - DISCOUNT) / n[asked[hit]]
+        inner = np.zeros(len(codes), bool)
+        inner[asked] = node[whose]
+        if depth < DEPTH:
+            context, n, able, at, _ = deeper
 
     def per_text(x: np.ndarray) -> np.ndarray:
         return np.add.reduceat(x, starts)
 
-    return chunk["ids"], held, sizes, per_text((seen > 0).astype(np.int64)), per_text(np.log10(base)), per_text(np.log10(p))
+    return chunk["ids"], held, sizes, per_text((seen > 0).astype(np.int64)), per_text((unigram / np.log(10))[codes]), per_text(np.log10(p))
+
+
+def kind_of(phase: int):
+    return np.float32 if phase % 2 else np.uint32
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first: the high bytes of keys in order compress well."""
+    return np.ascontiguousarray(x.reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
 
+def from_planes(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
-ANSWERS = 1 + 2 * DEPTH
 
+COUNTS = (np.uint8, np.uint16, np.uint32, np.uint64)
 
-def replay(chunk: dict, answers: list[tuple[int, int, bytes]], corpus: tuple[int, int]):
-    """The next request of a chunk, or its scores, after the answers (phase, range, data) so far."""
+
+def node_rest(total: np.ndarray, covered: np.ndarray, types: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """The mass that a context hands to its suffix; 1 where its distribution does not diverge enough to be a node."""
+    rest = np.maximum(1 - (covered - DISCOUNT * types) / np.maximum(total, 1), 1e-12)
+    return np.where((covered > 0) & (gain + (total - covered) * np.log(rest) >= GAIN), rest, 1.0)[:, None]
+
+
+def packed(phase: int, sums: np.ndarray) -> bytes:
+    """Sums as bytes; counts in as few as the largest needs, which the first byte tells."""
+    if phase % 2:
+        return b"f" + planes(sums.astype(np.float32))
+    k = next(k for k, t in enumerate(COUNTS) if sums.max(initial=0) <= np.iinfo(t).max)
+    return bytes([k]) + planes(sums.astype(COUNTS[k]))
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return from_planes(data[1:], np.float32 if data[:1] == b"f" else COUNTS[data[0]])
+
+
+def replay(chunk: dict, corpus: tuple[int, int], done: int):
+    """The questions of a chunk after `done` answered rounds, or its scores after all."""
     steps = score(chunk, corpus)
-    request = next(steps)
+    question = next(steps)
     try:
-        for phase in range(max((a[0] for a in answers), default=-1) + 1):
-            parts = [a[2] for a in sorted(answers) if a[0] == phase]
-            kind = np.int64 if phase == 0 or phase % 2 else np.float32
-            got = np.frombuffer(b"".join(parts), kind).reshape(len(request[0]), -1)
-            request = steps.send(got if got.shape[1] else got.reshape(0, request[1].shape[1]))
+        for phases in ROUNDS[:done]:
+            got = {}
+            for p in phases:
+                parts = [unpacked(a[2]) for a in sorted(chunk["answers"]) if a[0] == p]
+                flat = np.concatenate(parts) if parts else np.zeros(0, kind_of(p))
+                got[p] = flat.reshape(len(question[p][0]), 1)
+            question = steps.send(got)
     except StopIteration as end:
-        return None, end.value
-    return request, None
+        return end.value
+    return question
 
 
 def rows_of(b: pa.RecordBatch) -> Iterator[dict]:
@@ -178,62 +233,69 @@ def rows_of(b: pa.RecordBatch) -> Iterator[dict]:
         yield r
 
 
-def ask(state: DataFrame, phase: int, parts: int, corpus: tuple[int, int]) -> DataFrame:
-    """The answers of one phase: chunk, phase, part, data, total, distinct."""
+def ask(state: DataFrame, done: int, parts: int, corpus: tuple[int, int]) -> DataFrame:
+    """The answers of one round: chunk, phase, part, data, total, words."""
     bounds = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo.cache_clear()  # this worker may have made chunks
         for b in batches:
             for r in rows_of(b):
-                (keys, values), _ = replay(r, r["answers"], corpus)
-                cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
-                rows = [(k, a, e) for k, (a, e) in enumerate(zip(cuts, cuts[1:])) if e > a]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([x[0] for x in rows], pa.int32()),
-                        pa.array([r["chunk"]] * len(rows), pa.string()),
-                        pa.array([keys[a:e].tobytes() for _, a, e in rows], pa.binary()),
-                        pa.array([values[a:e].tobytes() for _, a, e in rows], pa.binary()),
-                    ],
-                    ["part", "chunk", "keys", "values"],
-                )
-
-    counting = phase == 0 or phase % 2 == 1
+                for phase, (keys, values) in replay(r, corpus, done).items():
+                    cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+                    rows = [(k, a, e) for k, (a, e) in enumerate(zip(cuts, cuts[1:])) if e > a]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([phase] * len(rows), pa.int32()),
+                            pa.array([x[0] for x in rows], pa.int32()),
+                            pa.array([r["chunk"]] * len(rows), pa.string()),
+                            pa.array([planes(keys[a:e]) for _, a, e in rows], pa.binary()),
+                            pa.array([planes(values[a:e]) for _, a, e in rows], pa.binary()),
+                        ],
+                        ["phase", "part", "chunk", "keys", "values"],
+                    )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = None, []
+        at, held = None, []
 
         def answer() -> pa.RecordBatch:
-            keys = np.concatenate([k for _, k, _ in held])
+            phase, part = at
+            own, place = distinct(np.concatenate([k for _, k, _ in held]))
             values = np.concatenate([v for _, _, v in held])
-            _, at = np.unique(keys, return_inverse=True)
-            sums = np.stack([np.bincount(at, weights=values[:, c]) for c in range(values.shape[1])], axis=1)
-            stats = [(int(sums.sum()), int((sums > 0).sum())) if counting else (0, 0)] + [(0, 0)] * (len(held) - 1)
+            sums = np.stack([np.bincount(place, weights=values[:, c], minlength=len(own)) for c in range(values.shape[1])], axis=1)
+            words = len(np.unique(own[sums[:, 0] > 0])) if phase == 0 else 0
+            stats = [(int(sums[:, 0].sum()) if phase == 0 else 0, words)] + [(0, 0)] * (len(held) - 1)
+            if phase % 2:
+                total = np.zeros(len(own))
+                total[place] = values[:, 0]  # all chunks know the same
+                sums = node_rest(total, *sums[:, 1:].T)
+            elif phase:
+                sums[sums < 2] = 0  # n-grams seen once are not stored
             out, a = [], 0
             for _, k, _ in held:
-                out.append(sums[at[a : a + len(k)]].astype(np.int64 if counting else np.float32).tobytes())
+                out.append(packed(phase, sums[place[a : a + len(k)]]))
                 a += len(k)
             columns = ([c for c, _, _ in held], [phase] * len(held), [part] * len(held), out, *zip(*stats))
             types = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["chunk", "phase", "part", "data", "total", "distinct"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["chunk", "phase", "part", "data", "total", "words"])
 
         for b in batches:
             for i in range(b.num_rows):
-                p, chunk, keys, values = (b.column(k)[i].as_py() for k in range(4))
-                if p != part:
+                phase, part, chunk, keys, values = (b.column(k)[i].as_py() for k in range(5))
+                if (phase, part) != at:
                     if held:
                         yield answer()
-                    part, held = p, []
-                keys = np.frombuffer(keys, np.uint64)
-                held.append((chunk, keys, np.frombuffer(values, np.uint32 if counting else np.float32).reshape(len(keys), -1)))
+                    at, held = (phase, part), []
+                keys = from_planes(keys, np.uint64)
+                held.append((chunk, keys, from_planes(values, kind_of(phase)).reshape(len(keys), -1)))
         if held:
             yield answer()
 
-    sent = state.mapInArrow(send, "part int, chunk string, keys binary, values binary")
+    sent = state.mapInArrow(send, "phase int, part int, chunk string, keys binary, values binary")
     return (
-        sent.repartition(parts, "part")
-        .sortWithinPartitions("part", "chunk")
-        .mapInArrow(add, "chunk string, phase int, part int, data binary, total long, distinct long")
+        sent.repartition(parts * len(ROUNDS[done]), "phase", "part")
+        .sortWithinPartitions("phase", "part", "chunk")
+        .mapInArrow(add, "chunk string, phase int, part int, data binary, total long, words long")
     )
 
 
@@ -248,13 +310,9 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     spark = docs.sparkSession
     rows = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    buckets = max(8, rows.rdd.getNumPartitions())
-    table, path = f"codeprism_chunks_{uuid.uuid4().hex}", new_path(spark, "chunks")
-    # bucketed by chunk, so that answers come to the chunks and the chunks stay where they are
-    chunks(rows).write.bucketBy(buckets, "chunk").option("path", path).option("compression", "zstd").saveAsTable(table)
-    made = spark.table(table)
-    size = made.agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).first()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = staged(chunks(rows), "chunks")
+    size = made.agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).first()
     answers, corpus = [], (0, 0)
 
     def state() -> DataFrame:
@@ -263,30 +321,24 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         every = functools.reduce(DataFrame.unionAll, answers).select("chunk", F.struct("phase", "part", "data").alias("answer"))
         return made.join(every.groupBy("chunk").agg(F.collect_list("answer").alias("answers")), "chunk", "left")
 
-    for phase in range(ANSWERS):
-        keys = (size["words"] if phase == 0 or phase % 2 == 0 else size["tokens"]) or 0
-        found = staged(ask(state(), phase, max(least, keys // RANGE), corpus), "answers")
-        if phase == 0:
-            got = found.agg(F.sum("total"), F.sum("distinct")).first()
+    for done in range(len(ROUNDS)):
+        keys = size["tokens"] if done else size["words"]
+        found = staged(ask(state(), done, max(least, (keys or 0) // RANGE), corpus), "answers", SMALL_BATCHES)
+        if not done:
+            got = found.agg(F.sum("total"), F.sum("words")).first()
             corpus = (got[0] or 0, got[1] or 0)
         answers.append(found)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in rows_of(b):
-                request, found = replay(r, r["answers"], corpus)
-                if found is None:
-                    raise ValueError(f"answers of chunk {r['chunk']} are missing")
-                ids, held, n, known, base, own = found
+                ids, held, n, known, base, own = replay(r, corpus, len(ROUNDS))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(held), pa.array(n), pa.array(known), pa.array(np.full(len(n), corpus[0], np.int64)), pa.array(base), pa.array(own)],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = staged(state().mapInArrow(finish, schema), "scores")
-    drop_staged(*answers)
-    spark.sql(f"DROP TABLE {table}")
-    made.staged_path = path
-    drop_staged(made)
+    out = staged(state().mapInArrow(finish, schema), "scores", SMALL_BATCHES)
+    drop_staged(made, *answers)
     return out
