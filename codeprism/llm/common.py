@@ -117,6 +117,21 @@ class WordHash(dict):
         return value
 
 
+_memos: dict = {}
+
+
+def worker_memo(key: str, make):
+    """The memo of this worker process under a key. It outlives tasks; a memo of another key gives way."""
+    if key not in _memos:
+        _memos.clear()
+        _memos[key] = make()
+    return _memos[key]
+
+
+def forget_memo() -> None:
+    _memos.clear()
+
+
 def word_table(texts: pa.Array, lower: pa.Array | bool = True) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Words of Arrow strings as offsets by text, places in a list of distinct words, and that list.
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_BATCHES, WordHash, distinct, drop_staged, hashed_texts, mix, pick, slices, staged
+from .common import SMALL_BATCHES, WordHash, distinct, drop_staged, forget_memo, hashed_texts, mix, pick, slices, staged, worker_memo
 
 FOLDS, HELD_OUT = 5, 1
 DEPTH, NMIN, DISCOUNT, GAIN = 2, 16, 0.75, 4.0
@@ -39,11 +39,6 @@ END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 ODD, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-@functools.cache
-def memo() -> WordHash:
-    return WordHash()
-
-
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
 
@@ -75,7 +70,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         for b in batches:
             of_batch = b.column("doc_id").to_pylist()
             for first, last in slices(b.column("text"), SLICE):
-                for i, words in zip(of_batch[first:last], hashed_texts(b.column("text").slice(first, last - first), memo())):
+                for i, words in zip(of_batch[first:last], hashed_texts(b.column("text").slice(first, last - first), worker_memo("words", WordHash))):
                     part = np.append(words, END)
                     if parts and size + len(part) > CHUNK:
                         yield out()
@@ -179,13 +174,15 @@ def kind_of(phase: int):
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Numbers byte by byte, all first bytes first: the high bytes of keys in order compress well."""
-    return np.ascontiguousarray(x.reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    """Numbers byte by byte, all first bytes first, compressed: the high bytes of keys in order shrink well."""
+    data = np.ascontiguousarray(x.reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
 
 
 def from_planes(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+    size, n = np.dtype(kind).itemsize, int.from_bytes(data[:8], "little")
+    plain = pa.Codec("zstd").decompress(data[8:], n, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
 COUNTS = (np.uint8, np.uint16, np.uint32, np.uint64)
@@ -238,7 +235,7 @@ def ask(state: DataFrame, done: int, parts: int, corpus: tuple[int, int]) -> Dat
     bounds = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo.cache_clear()  # this worker may have made chunks
+        forget_memo()  # this worker may have made chunks
         for b in batches:
             for r in rows_of(b):
                 for phase, (keys, values) in replay(r, corpus, done).items():
