@@ -57,21 +57,21 @@ FIELDS = {
 }
 
 
-def stats(text: Column, fields=tuple(FIELDS)) -> Column:
-    """Counts of one text as a struct; a null text has the counts of an empty one."""
+def with_parts(text: Column, body) -> Column:
+    """body of a text, its words and its lines with a word, each worked out once; a null text is empty."""
     text = F.coalesce(text, F.lit(""))
-    with_word = F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(WORD)))
-    words = word_array(text) if {"n_words", "n_repeat_words", "n_same"} & set(fields) else F.lit(None)
-    lines = with_word if {"n_lines", "n_dup_lines"} & set(fields) else F.lit(None)
-    return let(
-        F.struct(text.alias("t"), words.alias("ws"), lines.alias("ls")),
-        lambda x: F.struct(*[FIELDS[f](x["t"], x["ws"], x["ls"]).cast("long").alias(f) for f in fields]),
-    )
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(WORD)))
+    return let(F.struct(text.alias("t"), word_array(text).alias("ws"), lines.alias("ls")), lambda x: body(x["t"], x["ws"], x["ls"]))
+
+
+def stats(text: Column) -> Column:
+    """All counts of one text as a struct."""
+    return with_parts(text, lambda *parts: F.struct(*[f(*parts).cast("long").alias(name) for name, f in FIELDS.items()]))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects: from a struct of the fields; per_char, per_word: relative cost of working the fields out."""
+    """rejects: from the fields by name; per_char, per_word: relative cost of working the fields out."""
 
     name: str
     fields: tuple[str, ...]
@@ -156,7 +156,12 @@ def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules=BASE
     rule rejects it. Null, empty and repeated rows are judged as by judge().
     """
     plain, names, c = whole(docs, id=doc_id, text=text)
-    verdict = F.when(F.lit(False), F.lit(False))
-    for r in sampled_plan(c["id"], c["text"], plain, rules):
-        verdict = verdict.when(r.rejects(stats(c["text"], r.fields)), F.lit(False))
-    return plain.where(verdict.otherwise(F.lit(True))).toDF(*names)
+    order = sampled_plan(c["id"], c["text"], plain, rules)
+
+    def verdict(*parts: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(False))
+        for r in order:
+            out = out.when(r.rejects({f: FIELDS[f](*parts).cast("long") for f in r.fields}), F.lit(False))
+        return out.otherwise(F.lit(True))
+
+    return plain.where(with_parts(c["text"], verdict)).toDF(*names)
