@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words that one Python worker remembers the hash of; the memo is emptied when full.
-MEMO = 300_000
+MEMO = 200_000
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:

@@ -308,7 +308,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     rows = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = staged(chunks(rows), "chunks")
+    made = staged(chunks(rows), "chunks", SMALL_BATCHES)
     size = made.agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).first()
     answers, corpus = [], (0, 0)
 

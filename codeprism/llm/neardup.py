@@ -17,7 +17,6 @@ the estimate's cut lies four standard deviations below the threshold.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, drop_staged, hashed_texts, mix, pick, slices, staged, whole
+from .common import SMALL_BATCHES, WordHash, drop_staged, hashed_texts, mix, pick, settings, slices, staged, whole, worker_memo
 from .graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -49,11 +48,6 @@ BAND_SALT = _random.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 FACTORS = [np.uint64(0x9E3779B97F4A7C15) ** np.uint64(i) for i in range(SHINGLE)]
 
 
-@functools.cache
-def memo() -> WordHash:
-    return WordHash()
-
-
 def shingles(w: np.ndarray) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes of word hashes; fewer than SHINGLE words are one shingle."""
     n = len(w)
@@ -67,7 +61,7 @@ def shingles(w: np.ndarray) -> np.ndarray:
 
 def sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
     for first, last in slices(texts, SLICE):
-        yield from map(shingles, hashed_texts(texts.slice(first, last - first), memo()))
+        yield from map(shingles, hashed_texts(texts.slice(first, last - first), worker_memo("words", WordHash)))
 
 
 def chunked(texts: pa.Array) -> Iterator[tuple[list[np.ndarray], int]]:
@@ -352,7 +346,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     have no id either, and then is kept. An empty table gives no rows; other columns are
     ignored. Texts are taken whole.
     """
-    rows = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
+    with settings(docs.sparkSession, SMALL_BATCHES):
+        return judged_rows(pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")))
+
+
+def judged_rows(rows: DataFrame) -> DataFrame:
+    """near_duplicates() of rows (doc_id, text); what runs Python is done when it returns."""
     sigs = staged(signatures(rows), "signatures")
     classes = sigs.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     members = staged(

@@ -8,7 +8,6 @@ within their length.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import os
 import zlib
@@ -20,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MEMO, pick, slices, staged, word_table
+from .common import MEMO, SMALL_BATCHES, pick, slices, staged, word_table, worker_memo
 
 CAPACITY, END = 4096, 2
 #: Pieces that share a rank counter: a share of all, so that no length makes a large group.
@@ -28,7 +27,7 @@ GROUPS, LEAST = 65_536, 64
 #: Punctuation that the tokenizer splits from a letter before it, and longest word kept in the memo.
 TAIL, LONGEST = ".,;:!?*#$%&|", 64
 #: Bytes of text worked on at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 class WordIds(dict):
@@ -110,19 +109,13 @@ class WordIds(dict):
         return out
 
 
-@functools.cache
-def word_ids(path: str) -> WordIds:
-    """One memo per worker process: it outlives the task."""
-    return WordIds(path)
-
-
 def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of each piece."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_ids(path)
+        memo = worker_memo(f"ids:{path}", lambda: WordIds(path))
         for b in batches:
             for first, last in slices(b.column("text"), SLICE):
                 texts = b.column("text").slice(first, last - first).fill_null("")
@@ -228,7 +221,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     empty table gives no rows; other columns are ignored. The driver holds the histogram (at
     most capacity lengths) and at most capacity + GROUPS rank offsets.
     """
-    made = staged(pieces(pick(docs, doc_id=doc_id, text=text), tokenizer, capacity), "pieces")
+    made = staged(pieces(pick(docs, doc_id=doc_id, text=text), tokenizer, capacity), "pieces", SMALL_BATCHES)
     spark = made.sparkSession
     histogram = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
     target = max(LEAST, sum(histogram.values()) // GROUPS)
