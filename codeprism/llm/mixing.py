@@ -19,6 +19,8 @@ from .common import WORD, pick, staged, whole
 SHARE, CAP, WEIGHTS = 1.5, 2, (5.0, 2.0, 1.0)
 #: Levels of 8 bits by which a hash threshold is narrowed down.
 LEVELS = 4
+#: Documents of a pattern that may fill what is left below the threshold.
+ROUNDS = 3
 #: Rows up to which the thresholds are broadcast; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -108,8 +110,8 @@ def keyed(doc_id: Column, text: Column, source: Column, many: bool, seed: int) -
 
 
 def solve(base: DataFrame, **shares) -> DataFrame:
-    """Per pattern: full repetitions, the hash below which rows are taken once more, one more such
-    hash, and size and target of its first source. base has pattern, members, size and h."""
+    """Per pattern: full repetitions, the hash below which rows are taken once more, a few more such
+    hashes, and size and target of its first source. base has pattern, members, size and h."""
     found = base.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("members").alias("members")).collect()
     patterns = {r["pattern"]: (list(r["members"]), r["size"]) for r in found}
     sizes: dict = defaultdict(int)
@@ -125,16 +127,16 @@ def solve(base: DataFrame, **shares) -> DataFrame:
     extra = top_up(base, below, {p: n for p, n in left.items() if n > 0})
     plan = base.sparkSession.createDataFrame(
         [
-            (p, full[p], below.get(p, 0), extra.get(p, -1), sizes[own[0]] if own else 0, float(wanted[own[0]]) if own else 0.0)
+            (p, full[p], below.get(p, 0), extra.get(p, []), sizes[own[0]] if own else 0, float(wanted[own[0]]) if own else 0.0)
             for p, (own, _) in patterns.items()
         ],
-        "pattern string, full long, below long, extra long, source_size long, target double",
+        "pattern string, full long, below long, extra array<long>, source_size long, target double",
     )
     return F.broadcast(plan) if len(patterns) <= BROADCAST_ROWS else plan
 
 
 def copies() -> Column:
-    more = (F.col("h") < F.col("below")) | (F.col("h") == F.col("extra"))
+    more = (F.col("h") < F.col("below")) | F.array_contains("extra", F.col("h"))
     return F.when(F.col("size") > 0, F.col("full") + more.cast("long")).otherwise(F.lit(0))
 
 
@@ -208,21 +210,30 @@ def narrow(base: DataFrame, wanted: dict[str, int]) -> tuple[dict[str, int], dic
     return below, left
 
 
-def top_up(base: DataFrame, below: dict[str, int], left: dict[str, int]) -> dict[str, int]:
-    """Of each pattern the hash of the document not yet taken whose size is nearest to what is left."""
-    if not left:
-        return {}
-    at = base.sparkSession.createDataFrame([(p, below[p], n) for p, n in left.items()], "pattern string, below long, left long")
-    if len(left) <= BROADCAST_ROWS:
-        at = F.broadcast(at)
-    off = F.abs(F.col("size") - F.col("left"))
-    best = (
-        base.join(at, "pattern")
-        .where((F.col("h") >= F.col("below")) & (off < F.col("left")))
-        .groupBy("pattern", "h")
-        .agg(F.sum("size").alias("size"), F.first("left").alias("left"))
-        .where(F.abs(F.col("size") - F.col("left")) < F.col("left"))
-        .groupBy("pattern")
-        .agg(F.min(F.struct(F.abs(F.col("size") - F.col("left")), F.col("h").alias("h"))).alias("best"))
-    )
-    return {r["pattern"]: r["best"]["h"] for r in best.collect()}
+def top_up(base: DataFrame, below: dict[str, int], left: dict[str, int]) -> dict[str, list[int]]:
+    """Of each pattern the hashes of documents not yet taken that fill what is left.
+
+    Each round takes the largest document that fits; the last takes that of the nearest size, if
+    it brings the words closer to what is wanted. Rows of one hash are taken together.
+    """
+    taken: dict[str, list[int]] = {p: [] for p in left}
+    open_ = dict(left)
+    for last in [False] * (ROUNDS - 1) + [True]:
+        open_ = {p: n for p, n in open_.items() if n > 0}
+        if not open_:
+            break
+        rows = [(p, below[p], n, taken[p]) for p, n in open_.items()]
+        at = base.sparkSession.createDataFrame(rows, "pattern string, below long, left long, taken array<long>")
+        if len(rows) <= BROADCAST_ROWS:
+            at = F.broadcast(at)
+        free = base.join(at, "pattern").where((F.col("h") >= F.col("below")) & (F.col("size") < 2 * F.col("left")) & ~F.array_contains("taken", F.col("h")))
+        sizes = free.groupBy("pattern", "h").agg(F.sum("size").alias("size"), F.first("left").alias("left"))
+        off = F.abs(F.col("size") - F.col("left"))
+        fits = off < F.col("left") if last else (F.col("size") <= F.col("left")) & (F.col("size") > 0)
+        best = sizes.where(fits).groupBy("pattern").agg(F.min(F.struct(off.alias("off"), F.col("h").alias("h"), F.col("size").alias("size"))).alias("b"))
+        found = {r["pattern"]: r["b"] for r in best.collect()}
+        for p, b in found.items():
+            taken[p].append(b["h"])
+            open_[p] -= b["size"]
+        open_ = {p: n for p, n in open_.items() if p in found or not last}
+    return taken
