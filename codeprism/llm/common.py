@@ -164,6 +164,7 @@ def slices(texts: pa.Array, size: int):
         last = max(first + 1, int(np.searchsorted(ends, ends[first] - sizes[first] + size, "right")))
         yield first, last
         first = last
+    pa.default_memory_pool().release_unused()
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

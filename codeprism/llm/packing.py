@@ -27,7 +27,7 @@ GROUPS, LEAST = 65_536, 64
 #: Punctuation that the tokenizer splits from a letter before it, and longest word kept in the memo.
 TAIL, LONGEST = ".,;:!?*#$%&|", 64
 #: Bytes of text worked on at once.
-SLICE = 2 << 20
+SLICE = 4 << 20
 
 
 class WordIds(dict):
