@@ -27,7 +27,7 @@ GROUPS, LEAST = 65_536, 64
 #: Punctuation that the tokenizer splits from a letter before it, and longest word kept in the memo.
 TAIL, LONGEST = ".,;:!?*#$%&|", 64
 #: Bytes of text worked on at once.
-SLICE = 4 << 20
+SLICE = 3 << 20
 
 
 class WordIds(dict):
@@ -126,7 +126,10 @@ def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
                 starts = np.cumsum(sizes) - sizes
                 n = sizes[places]
                 until = np.concatenate([[0], np.cumsum(n)])
-                ids = flat[np.repeat(starts[places] - until[:-1], n) + np.arange(until[-1])].tobytes()
+                small = np.int32 if max(len(flat), until[-1]) < 2**31 else np.int64
+                at = np.repeat((starts[places] - until[:-1]).astype(small), n)
+                at += np.arange(until[-1], dtype=small)
+                ids = flat[at].tobytes()
                 rows: list[tuple[int, int, int, int, int]] = []
                 for i, (a, e) in enumerate(zip(until[offsets], until[offsets[1:]])):
                     text = ids[4 * a : 4 * e] + end
