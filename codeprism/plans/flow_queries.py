@@ -141,9 +141,10 @@ def points_to(spark, sf_dir):
 
 
 def solver_tables(spark, sf_dir):
-    """A call graph over the first customers: each function calls two others and writes through its parameter."""
-    n = 60
-    f = spark.read.parquet(f"{sf_dir}/customer.parquet").where(f"c_custkey < {n}").select("c_custkey", (F.col("c_custkey") % 7 == 3).alias("odd"))
+    """A call graph over all customers: each function calls two others and writes through its parameter. The SQL has the first 60 only."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    n = max(1, customers.count())
+    f = customers.select("c_custkey", (F.col("c_custkey") % 7 == 3).alias("odd"))
     name = lambda c: F.concat(F.lit("f"), c)
     prov = [F.lit("tu").alias("translation_unit_id"), F.lit("cfg").alias("build_configuration_id"), F.lit("alpha").alias("build_variant")]
     k = F.col("c_custkey")

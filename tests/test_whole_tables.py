@@ -30,3 +30,24 @@ def test_components_of_all_calls(spark, tmp_path):
     assert len(got) == n and {r["id"]: r["component"] for r in got} == {a: min(b for b in reach[a] if a in reach[b]) for a in range(n)}
     got = catalog.QUERIES["weak_components"](spark, str(tmp_path)).collect()
     assert len(got) == len(both) and {r["id"]: r["component"] for r in got} == {a: min(reached(both, a)) for a in both}
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def table(name):
+    return pd.read_parquet(f"{SF}/{name}.parquet")
+
+
+def test_the_solver_takes_all_customers(spark):
+    n = len(table("customer"))
+    calls = {a: {(a * 3 + 1) % n, (a * 5 + 2) % n} for a in range(n) if a % 4}
+    reach = {a: reached(calls, a) for a in range(n)}
+    assert max(sum(b in reach[a] and a in reach[b] for b in range(n)) for a in range(n)) <= 128  # else the solver's own limit shows
+    got = catalog.QUERIES["summary_effects_solved"](spark, SF).collect()
+    want = {(f"s{a}", f"a{b}") for a in range(n) for b in reach[a] if b % 3 == 0}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    got = catalog.QUERIES["summary_completeness"](spark, SF).collect()
+    assert len(got) == n and {tuple(r) for r in got} == {(f"s{a}", not any(b % 7 == 3 for b in reach[a])) for a in range(n)}
+    got = catalog.QUERIES["summary_flows"](spark, SF).collect()
+    assert sum(r["flows"] for r in got if r["kind"] == "argument_to_parameter") == sum(map(len, calls.values()))
