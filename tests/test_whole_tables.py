@@ -39,6 +39,18 @@ def table(name):
     return pd.read_parquet(f"{SF}/{name}.parquet")
 
 
+def test_override_targets_of_all_sites(spark):
+    parents, want, rows = {}, [], table("lineitem")  # a site that is listed twice is answered twice
+    for p in table("part")["p_partkey"].tolist():
+        if p > 0:
+            parents.setdefault(p // 3, []).append(p)
+    for order, line, part, flag, status in rows[["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus"]].itertuples(index=False):
+        if flag == "A":
+            want += [(f"site_{order}_{line}", f"m{p}", status) for p in reached(parents, part) - {part}]
+    got = catalog.QUERIES["override_targets"](spark, SF).select("callsite_id", "target_symbol_id", "build_variant").collect()
+    assert len(want) > 1000 and sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_the_solver_takes_all_customers(spark):
     n = len(table("customer"))
     calls = {a: {(a * 3 + 1) % n, (a * 5 + 2) % n} for a in range(n) if a % 4}
