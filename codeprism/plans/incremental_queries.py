@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..views import ctes, view
@@ -27,8 +26,8 @@ def units(spark, sf_dir):
     state = state.withColumn("command_hash", F.concat(F.lit("c"), F.col("k") % 5)).withColumn("source_path", F.concat(F.lit("s"), "k"))
     current = state.where("k % 13 <> 0").select("id", "source_path", "analysis_backend", F.when(F.col("k") % 9 == 0, "other").otherwise(F.col("command_hash")).alias("command_hash"))
     sources = state.where("k % 17 <> 0").select(F.col("source_path").alias("path"), F.when(F.col("k") % 10 == 0, "edited").otherwise(F.col("content_hash")).alias("content_hash"))
-    deps = view(spark, sf_dir, "dependencies").where("translation_unit_id IN ('tu_1', 'tu_2', 'tu_3', 'tu_4')").distinct()
-    headers = deps.select("path", F.max("content_hash").over(Window.partitionBy("path")).alias("content_hash")).distinct()
+    deps = view(spark, sf_dir, "dependencies").distinct()
+    headers = deps.groupBy("path").agg(F.max("content_hash").alias("content_hash"))
     return state, current, sources.unionAll(headers), deps
 
 
@@ -41,6 +40,7 @@ stale AS (SELECT DISTINCT translation_unit_id FROM d JOIN h USING (path) WHERE d
 
 @register("changed_units", CHANGED + " SELECT id FROM s WHERE k % 13 <> 0 AND (k % 9 = 0 OR k % 10 = 0 OR k % 17 = 0 OR NOT advanced_facts_complete OR id IN (SELECT translation_unit_id FROM stale))")
 def changed_units(spark, sf_dir):
+    """Dependencies of all units; the SQL has only those of four."""
     state, current, hashes, deps = units(spark, sf_dir)
     return incremental.changed_units(current, state, hashes, deps)
 

@@ -51,6 +51,17 @@ def test_override_targets_of_all_sites(spark):
     assert len(want) > 1000 and sorted(tuple(r) for r in got) == sorted(want)
 
 
+def test_changed_units_see_the_dependencies_of_all(spark):
+    now, deps = {}, {(f"tu_{o}", p, str(s)) for o, p, s in table("lineitem")[["l_orderkey", "l_partkey", "l_suppkey"]].itertuples(index=False)}
+    for _, path, content in deps:
+        now[path] = max(now.get(path, ""), content)
+    stale = {unit for unit, path, content in deps if content != now[path]}
+    orders = table("orders")[["o_orderkey", "o_orderstatus"]].itertuples(index=False)
+    want = {f"tu_{k}" for k, status in orders if k % 13 and (not k % 9 or not k % 10 or not k % 17 or status != "F" or f"tu_{k}" in stale)}
+    got = catalog.QUERIES["changed_units"](spark, SF).collect()
+    assert len(got) == len(want) and {r["id"] for r in got} == want
+
+
 def test_the_solver_takes_all_customers(spark):
     n = len(table("customer"))
     calls = {a: {(a * 3 + 1) % n, (a * 5 + 2) % n} for a in range(n) if a % 4}
