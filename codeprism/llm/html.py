@@ -21,11 +21,9 @@ from .common import pick
 WINDOW = 3
 #: Characters in a window at which text surges, on pages without article or main.
 SURGE = 80
-#: Of several stretches those with at least this share of the longest are kept.
-SHARE = 0.25
 
 #: HTML elements by what they mean here.
-RAW = "script|style|noscript|template|textarea|select|iframe|object|svg|math|head|title|button"
+RAW = "script|style|noscript|noframes|template|textarea|select|iframe|object|svg|math|title|button"
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody "
@@ -57,7 +55,7 @@ def is_chrome(tag: str, attrs: str, in_main: bool) -> int:
         return SOFT
     if tag in CHROME:
         return FIRM
-    if not attrs or tag in ("body", "html", "article", "main"):
+    if not attrs or tag in ("body", "head", "html", "article", "main"):
         return 0
     for key, a, b, c in NAMES.findall(attrs):
         value = (a or b or c).lower()
@@ -66,18 +64,23 @@ def is_chrome(tag: str, attrs: str, in_main: bool) -> int:
     return FIRM if HIDDEN.search(attrs) else 0
 
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, chrome, main) per line; main is SOFT inside article or main elements, FIRM if those are in firm chrome."""
-    lines: list[tuple[str, int, int]] = []
+def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
+    """(text, chrome, main, item) per line; main is SOFT inside article or main elements, FIRM if those are in firm chrome; item: in a list.
+
+    A head has no text of its own: its title, styles and scripts are dropped as such, and what
+    else stands there belongs to the body, whether or not the head is closed.
+    """
+    lines: list[tuple[str, int, int, bool]] = []
     run: list[str] = []
-    stack: list[tuple[str, int, int]] = []  # tag, chrome, main: of what is open
+    stack: list[tuple[str, int, int, bool]] = []  # tag, chrome, main, item: of what is open
     chrome = main = 0
+    item = False
 
     def end() -> None:
         if run:
             text = " ".join(html.unescape("".join(run)).split())
             if text:
-                lines.append((text, chrome, main))
+                lines.append((text, chrome, main, item))
             run.clear()
 
     at = 0
@@ -100,7 +103,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                     if tag not in BLOCKS:
                         end()
                     del stack[k:]
-                    chrome, main = stack[-1][1:] if stack else (0, 0)
+                    chrome, main, item = stack[-1][1:] if stack else (0, 0, False)
                     break
             if m["close"]:
                 continue
@@ -115,19 +118,24 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             end()
             chrome = kind
         if tag in BLOCKS or chrome:
-            stack.append((tag, chrome, main))
+            item = item or tag == "li"
+            stack.append((tag, chrome, main, item))
     run.append(page[at:])
     end()
     return lines
 
 
-def stretches(lengths: list[int], surge: int) -> list[tuple[int, int]]:
-    """Stretches of lines from a surge of the window sums to the dive where a sum is zero."""
+def stretches(lengths: list[int], surge: int, items: list[bool]) -> list[tuple[int, int]]:
+    """Stretches of lines from a surge of the window sums to the dive where a sum is zero.
+
+    A stretch begins with the first line of the surging window that is no chrome, however
+    short; only a short list item ahead of the surge is a menu's.
+    """
     n = len(lengths)
     sums = [sum(lengths[i : i + WINDOW]) for i in range(n)]
     out, start = [], None
     for i, s in enumerate(sums):
-        if start is None and s > surge and lengths[i] > surge // 4:  # a short line before the surge is none of it
+        if start is None and s > surge and lengths[i] > (surge // 4 if items[i] else 0):
             start = i
         elif start is not None and s == 0:
             out.append((start, i))
@@ -143,13 +151,13 @@ def main_text(page: str | None) -> str:
         return ""
     lines = lines_of(page)
 
-    def chosen(wanted: int, surge: int, share: float) -> list[int]:
-        lengths = [len(t) if not chrome and main == wanted else 0 for t, chrome, main in lines]
-        found = stretches(lengths, surge)
-        longest = max((sum(lengths[a:b]) for a, b in found), default=0)
-        return [i for a, b in found if sum(lengths[a:b]) >= share * longest for i in range(a, b) if lengths[i]]
+    items = [item for _, _, _, item in lines]
+
+    def chosen(wanted: int, surge: int) -> list[int]:
+        lengths = [len(t) if not chrome and main == wanted else 0 for t, chrome, main, _ in lines]
+        return [i for a, b in stretches(lengths, surge, items) for i in range(a, b) if lengths[i]]
 
-    keep = chosen(SOFT, 0, 0) or chosen(0, SURGE, SHARE) or chosen(0, 0, 0) or chosen(FIRM, 0, 0)
+    keep = chosen(SOFT, 0) or chosen(0, SURGE) or chosen(0, 0) or chosen(FIRM, 0)
     return "\n\n".join(lines[i][0] for i in keep)
 
 

@@ -126,3 +126,12 @@ def test_html_extraction(spark):
     got = html.extract(rows).collect()
     assert len(got) == 4 and all(r["n_chars"] == len(r["text"]) for r in got)
     assert html.extract(rows.limit(0)).count() == 0
+
+
+def test_html_without_article_keeps_short_headings_short_sections_and_open_heads():
+    long, menu = "word " * 60, "<nav>a</nav><nav>b</nav><nav>c</nav>"
+    assert html.main_text(f"<h1>Rain</h1><p>{long}</p>") == f"Rain\n\n{long.strip()}"
+    assert html.main_text(f"<p>{long * 17}</p>{menu}<h2>End</h2><p>{long * 3}</p>").endswith(f"\n\nEnd\n\n{(long * 3).strip()}")
+    for head in ("<head><title>T</title><meta name=x><script>'<div>'</script>", "<head id=header><style>p{}</style>", "<head><title>T</title></head>"):
+        assert html.main_text(f"<html>{head}<body><h1>Rain</h1><p>{long}</p>") == f"Rain\n\n{long.strip()}"
+        assert html.main_text(f"<html>{head}<p>{long}</p>") == long.strip()
