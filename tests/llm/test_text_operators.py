@@ -1,7 +1,9 @@
 """Quality rules, chat formatting, URL filters and HTML extraction against plain Python."""
 
 import hashlib
+import random
 import re
+from html.parser import HTMLParser
 
 import pytest
 
@@ -135,3 +137,134 @@ def test_html_without_article_keeps_short_headings_short_sections_and_open_heads
     for head in ("<head><title>T</title><meta name=x><script>'<div>'</script>", "<head id=header><style>p{}</style>", "<head><title>T</title></head>"):
         assert html.main_text(f"<html>{head}<body><h1>Rain</h1><p>{long}</p>") == f"Rain\n\n{long.strip()}"
         assert html.main_text(f"<html>{head}<p>{long}</p>") == long.strip()
+
+
+class PlainLines(HTMLParser):
+    """Lines of well-formed pages: text, chrome, in an article, in a list, heading, characters in links."""
+
+    CHROME = ({"nav", "header", "footer", "aside", "form"}, {"ad", "cookie", "comments"})
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.lines, self.open, self.run, self.linked = [], [], "", 0
+        self.feed(page)
+        self.close()
+        self.cut()
+
+    def inside(self, *tags):
+        return any(t in tags for t, _ in self.open)
+
+    def cut(self):
+        if text := " ".join(self.run.split()):
+            chrome = any(t in self.CHROME[0] or c in self.CHROME[1] for t, c in self.open)
+            self.lines.append([text, chrome, self.inside("article", "main"), self.inside("li"), self.inside("h1", "h2"), self.linked])
+        self.run, self.linked = "", 0
+
+    def edge(self, tag):
+        if tag not in ("a", "b", "script"):
+            self.cut()
+        if tag in ("article", "main"):
+            self.lines += [["", False, False, False, False, 0]] * html.WINDOW
+
+    def handle_starttag(self, tag, attrs):
+        self.edge(tag)
+        self.open.append((tag, dict(attrs).get("class")))
+
+    def handle_endtag(self, tag):
+        if tag not in ("article", "main"):
+            self.edge(tag)
+            self.open.pop()
+        else:
+            self.cut()
+            self.open.pop()
+            self.edge(tag)
+
+    def handle_data(self, data):
+        if not self.inside("script", "style"):
+            self.run += data
+            self.linked += len(data) * self.inside("a")
+
+
+def plain_main_text(page):
+    lines = PlainLines(page).lines
+    has = any(main and not chrome for _, chrome, main, *_ in lines)
+    mass = []
+    for text, chrome, main, item, _, linked in lines:
+        if chrome or not text or not main and item and len(text) <= 20:
+            mass.append(0)
+        elif main:
+            mass.append(len(text) + 80)
+        else:
+            mass.append(max(len(text) - linked, 0) / (8 if has else 1))
+    window = [sum(mass[i : i + 3]) for i in range(len(mass))]
+    surge = min(80, max(window, default=0))
+    keep = set()
+    for i, (s, m) in enumerate(zip(window, mass)):
+        if s >= surge and m:
+            dive = next((j for j in range(i, len(mass)) if not window[j]), len(mass))
+            rise = next((j + 1 for j in range(i, -1, -1) if not window[j]), 0)
+            keep |= set(range(i, dive)) | set(range(next((j for j in range(rise, i) if lines[j][4] and mass[j]), i), dive))
+    return "\n\n".join(x[0] for i, x in enumerate(lines) if i in keep and x[0] and not x[1])
+
+
+def random_page(r):
+    def words(most):
+        return " ".join(r.choice(["rain", "caf&eacute;", "&lt;p&gt;", "on", "weather\n", "<b>bold</b>", "a&nbsp;b"]) for _ in range(r.randint(1, most)))
+
+    def block():
+        return r.choice(["<p>{}</p>", "<h2>{}</h2>", "<div>{}</div>", "<ul><li>{}</li></ul>", "<p><a href='x'>{}</a></p>", "<p class='ad'>{}</p>", "<script>{}</script>"]).format(words(r.choice([2, 6, 60])))
+
+    def chrome():
+        return r.choice(["<nav><ul><li>{}</li><li>x</li></ul></nav>", "<footer>{}</footer>", "<aside>{}</aside>", "<div class='cookie'>{}</div>", "<form>{}</form>"]).format(words(5))
+
+    parts = [r.choice([block, chrome])() for _ in range(r.randint(0, 12))]
+    if r.random() < 0.5:
+        parts.insert(r.randint(0, len(parts)), "<article>" + "".join(r.choice([block, block, chrome])() for _ in range(r.randint(0, 8))) + "</article>")
+    return "<html><body>" + "\n".join(parts) + "</body></html>"
+
+
+def test_html_equals_a_plain_version_on_random_pages():
+    r = random.Random(11)
+    kept = dropped = 0
+    for _ in range(1500):
+        page = random_page(r)
+        assert html.main_text(page) == plain_main_text(page), page
+        lines = [x for x in html.lines_of(page) if x.text and not x.chrome]
+        n = len(html.main_text(page).split("\n\n")) if lines else 0
+        kept, dropped = kept + n, dropped + len(lines) - n
+    assert kept > 2000 and dropped > 300  # the window sums leave out what is no chrome, too
+
+
+def test_html_window_sums_find_the_article_without_its_tags():
+    long = "word " * 60
+    page = f"<nav><a href=x>a</a></nav><div class=ad>Buy this</div><article><h1>Rain</h1><p>{long}</p><p>Yes.</p></article><footer>f</footer>"
+    assert html.main_text(page) == html.main_text(re.sub("</?article>", "", page)) == f"Rain\n\n{long.strip()}\n\nYes."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>t</title><body><article><p>x y</p>", "x y"),
+        ("<article><p>a</p><svg-icon></svg-icon><select-menu>b</select-menu><p>c</p></article>", "a\n\nb\n\nc"),
+        ("<div class='layout right-sidebar'><article><h1>T</h1><p>" + "word " * 60 + "</p></article></div><div>&copy; me</div>", "T\n\n" + ("word " * 60).strip()),
+        ("<article><h2 class='header-big'>Big</h2><p>x</p></article>", "Big\n\nx"),
+        ("<article><p title=\"x>first</p><p class='y'>second</p></article>", "first\n\nsecond"),
+        ("<article><p title='a > b' data-x=it's>first</p><p>it's", "first\n\nit's"),
+        ("<article><p>a<svg><title>t</title></svg>b<button>go</button></article>", "ab"),
+        ("<article><ul><li class=share>x<li>kept</ul><p class=ad>x<div>kept too</div></article>", "kept\n\nkept too"),
+        ("<form id=page><article><p>" + "word " * 60 + "</p></article></form>", ("word " * 60).strip()),
+        ("<section id=comments><article>" + "word " * 60 + "</article></section><p>tiny</p>", "tiny"),
+        ("<p>a < b</p><p>open <a href='x", "a < b\n\nopen"),
+        ("<div " * 3000, ""),
+        ("<div>" * 3000 + "deep" + "</section>" * 3000, "deep"),
+        ("<!--><p>x</p><!-- no end <p>y</p>", "x"),
+    ],
+)
+def test_html_of_odd_markup(page, text):
+    assert html.main_text(page) == text
+
+
+def test_html_of_very_long_pages():
+    body = "".join(f"<p>paragraph {i} it's \"so\"</p>" for i in range(60_000))
+    assert len(html.main_text(f"<article>{body}</article>").split("\n\n")) == 60_000
+    assert html.main_text("<p title=\"" * 20_000) == ""
