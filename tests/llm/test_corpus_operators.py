@@ -263,23 +263,58 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read(empty, manifest3).count() == 0
 
 
-@pytest.mark.parametrize("seed, leaf", [(0, 512), (1, 3)])
-def test_top_k_equals_brute_force(spark, monkeypatch, seed, leaf):
-    monkeypatch.setattr(kdtree, "LEAF", leaf)
-    r = np.random.default_rng(seed)
-    x = np.round(r.normal(size=(260, 6)), 2)
-    x[40:140] = x[40]  # one very common vector
-    data = [(i, [float(v) for v in x[i]]) for i in range(260)] + [(300, None), (320, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (340, [float("nan")] * 6), (360, [1.0, 2.0]), (380, [3.0, 4.0]), (None, [1.0] * 6)]
-    rows = spark.createDataFrame([(i, v, 1) for i, v in data], "vec_id long, embedding array<double>, VEC_ID int")
+def top_k(rows):
     got = collections.defaultdict(list)
     for h in kdtree.search(rows).collect():
         got[h["query_id"]].append((h["rank"], h["vec_id"], h["score"]))
-    valid = {i: np.floor(64 * np.array(v)).astype(int) for i, v in data if i is not None and v is not None and None not in v and all(map(math.isfinite, v))}
-    for q, a in valid.items():
+    return {q: sorted(x) for q, x in got.items()}
+
+
+def plain_top_k(data):
+    """By all pairs of distinct rows, in whole numbers."""
+    valid = {(i, tuple(v)) for i, v in data if i is not None and v and None not in v and all(map(math.isfinite, v))}
+    whole = [(i, [int(max(min(math.floor(64 * x) if math.isfinite(64 * x) else 64 * x, 1.7976931348623157e308), -1.7976931348623157e308)) for x in v]) for i, v in valid]
+    out = collections.defaultdict(list)
+    for q, a in whole:
         if q % 20 == 0:
-            best = sorted(((-int(a @ b), i) for i, b in valid.items() if i != q and len(b) == len(a)))[:20]
-            assert sorted(got.pop(q)) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
-    assert not got and kdtree.search(rows.limit(0)).count() == 0
+            for i, b in whole:
+                if i != q and len(a) == len(b):
+                    score = sum(x * y for x, y in zip(a, b))
+                    out[q].append((-max(min(score, 2**63 - 1), -(2**63)), i))
+    return {q: [(n, i, -s) for n, (s, i) in enumerate(sorted(x)[:20], 1)] for q, x in out.items()}
+
+
+@pytest.mark.parametrize("seed, leaf, shard, stripe", [(0, 256, 1 << 18, 1 << 21), (1, 3, 1 << 18, 1 << 21), (2, 5, 120, 240), (3, 4, 300, 300)])
+def test_top_k_equals_brute_force(spark, monkeypatch, seed, leaf, shard, stripe):
+    for name, value in (("LEAF", leaf), ("SHARD", shard), ("STRIPE", stripe), ("GROUP", 8 if seed > 1 else 8192), ("BLOCK", 4 if seed > 1 else 512)):
+        monkeypatch.setattr(kdtree, name, value)
+    r = np.random.default_rng(seed)
+    x = np.round(r.normal(size=(260, 6)), 2)
+    x[40:140] = x[40]  # one very common vector
+    data = [(i, [float(v) for v in x[i]]) for i in range(260)] + [(300, None), (320, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (340, [float("nan")] * 6), (360, [1.0, 2.0]), (380, [3.0, 4.0]), (None, [1.0] * 6), (400, [])]
+    rows = spark.createDataFrame([(i, v, 1) for i, v in data], "vec_id long, embedding array<double>, VEC_ID int")
+    assert top_k(rows) == plain_top_k(data)
+    assert kdtree.search(rows.limit(0)).count() == 0
+
+
+def test_top_k_of_repeated_ids_and_large_components(spark, monkeypatch):
+    monkeypatch.setattr(kdtree, "SHARD", 12)
+    monkeypatch.setattr(kdtree, "STRIPE", 24)
+    data = [(20, [3.0, 4.5]), (7, [1.0, 0.0]), (7, [0.0, 9.0]), (7, [0.0, 9.0]), (40, [1e6, -1e6]), (41, [1e6, 1.25e6]), (60, [1e300, 1.0]), (61, [-1e308, 1e308]), (80, [1.0, 1.0]), (80, [2.0, 0.5]), (62, [1.7e308, 0.5])]
+    data += [(i, [float(i % 7) * 1e5, -float(i)]) for i in range(100, 130)]
+    got = top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    assert got == plain_top_k(data)
+    few = top_k(spark.createDataFrame(data[:4], "vec_id long, embedding array<double>"))
+    assert {(i, s) for _, i, s in few[20]} == {(7, 165888), (7, 12288)}
+
+
+def test_kd_trees_leave_out_what_no_bound_reaches():
+    r = np.random.default_rng(5)
+    near = np.floor(64 * np.concatenate([r.normal(5, 0.1, (2000, 4)), r.normal(-5, 0.1, (6000, 4))]))
+    forest = kdtree.Forest([kdtree.build(np.arange(a, a + 4000), near[a : a + 4000]) for a in (0, 4000)])
+    found = list(forest.search(np.array([-1]), near[:1], 20, [kdtree.LEAST]))
+    best = sorted(zip((-(near @ near[0])).astype(int).tolist(), range(8000)))[:20]
+    assert [(i, -s) for s, i in best] == [(i, s) for _, i, s in found] and forest.visited < 4000
 
 
 def test_word_table_splits_as_defined():
