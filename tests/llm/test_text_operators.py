@@ -42,12 +42,38 @@ def test_quality_keep_agrees_with_judge(spark):
     assert quality.judge(rows.limit(0)).count() == 0
 
 
-def test_rule_order_is_by_rejections_per_cost(spark):
-    rows = spark.createDataFrame([(i, "| a | b | c |") for i in range(5)], "id long, text string")
-    from pyspark.sql import functions as F
-
-    order = [r.name for r in quality.plan(rows.select("id", quality.stats(F.col("text")).alias("s")))]
-    assert order[0] in ("symbols", "word_length") and set(order) == {r.name for r in quality.RULES}
+def test_rule_order_is_by_rejections_per_second_of_what_is_left():
+    a, b, c = quality.RULES[:3]
+    verdicts = [((True, True, False), 60), ((True, False, False), 10), ((False, False, True), 20), ((False, False, False), 100)]
+    assert quality.greedy((a, b, c), [1.0, 1.0, 1.0], verdicts) == [a, c, b]  # alone b rejects most after a, but nothing that a leaves
+    assert quality.greedy((a, b, c), [9.0, 1.0, 1.0], verdicts) == [b, c, a]
+    assert quality.greedy((a, b, c), [3.0, 2.0, 1.0], [((False,) * 3, 5)]) == [c, b, a]
+    assert quality.greedy((a, b, c), [3.0, 2.0, 1.0], []) == [a, b, c]
+
+
+def test_rule_plan_keeps_verdicts_and_own_counts_stand_in_their_branches(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_ONE_IN", 1)
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS * 5)], "doc_id long, text string, Text string")
+    order = quality.plan(rows, "text", quality.RULES, quality.RETURNED)
+    assert set(order) == set(quality.RULES)
+    expected = sorted(map(str, quality.judge(rows).collect()))
+    for rules in (quality.RULES, quality.RULES[::-1]):
+        assert sorted(map(str, quality.judge(rows, rules=rules).collect())) == expected
+    plan = quality.judge(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("À-ÖØ-Þ") == 1 and plan.index("CASE WHEN") < plan.index("À-ÖØ-Þ")
+    assert "python" not in quality.judge(rows)._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_rule_sample_of_many_files_reads_only_some(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(quality, "MANY_FILES", 8)
+    monkeypatch.setattr(quality, "SAMPLE_ONE_IN", 4)
+    spark.range(400).selectExpr("id AS doc_id", "concat('some text ', id) AS text").repartition(20).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    sample = quality.sample_of(docs, "text")
+    assert 0 < sample.count() < 300
+    scan = sample._jdf.queryExecution().executedPlan().toString()
+    assert "_metadata" in scan or "file_path" in scan
+    assert quality.judge(docs).count() == 400 and quality.judge(docs.where("doc_id < 7")).count() == 7
 
 
 TURNS = [
