@@ -141,7 +141,7 @@ def points_to(spark, sf_dir):
 
 
 def solver_tables(spark, sf_dir):
-    """A call graph over all customers: each function calls two others and writes through its parameter. The SQL has the first 60 only."""
+    """A call graph over all customers: each function calls two others and writes through its parameter."""
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
     n = max(1, customers.count())
     f = customers.select("c_custkey", (F.col("c_custkey") % 7 == 3).alias("odd"))
@@ -175,7 +175,7 @@ def solver_tables(spark, sf_dir):
 
 #: In this graph a function has a write effect through its parameter for each access that it, or
 #: anything it calls, makes; and it is incomplete if anything it calls is.
-CALLS = "c AS (SELECT DISTINCT a, b FROM (SELECT c_custkey AS a, (c_custkey * 3 + 1) % 60 AS b FROM customer WHERE c_custkey < 60 AND c_custkey % 4 <> 0 UNION ALL SELECT c_custkey, (c_custkey * 5 + 2) % 60 FROM customer WHERE c_custkey < 60 AND c_custkey % 4 <> 0) AS x WHERE b IN (SELECT c_custkey FROM customer)), x AS (SELECT c_custkey AS a, c_custkey AS b FROM customer WHERE c_custkey < 60 UNION SELECT x.a, c.b FROM x JOIN c ON c.a = x.b)"
+CALLS = "c AS (SELECT DISTINCT a, b FROM (SELECT c_custkey AS a, (c_custkey * 3 + 1) % (SELECT count(*) FROM customer) AS b FROM customer WHERE c_custkey % 4 <> 0 UNION ALL SELECT c_custkey, (c_custkey * 5 + 2) % (SELECT count(*) FROM customer) FROM customer WHERE c_custkey % 4 <> 0) AS x WHERE b IN (SELECT c_custkey FROM customer)), x AS (SELECT c_custkey AS a, c_custkey AS b FROM customer UNION SELECT x.a, c.b FROM x JOIN c ON c.a = x.b)"
 
 
 @register(
@@ -188,7 +188,7 @@ def summary_effects_solved(spark, sf_dir):
 
 @register(
     "summary_completeness",
-    f"WITH RECURSIVE {CALLS}, m AS (SELECT DISTINCT a FROM (SELECT c_custkey AS a, (c_custkey * 3 + 1) % 60 AS b FROM customer WHERE c_custkey < 60 AND c_custkey % 4 <> 0 UNION ALL SELECT c_custkey, (c_custkey * 5 + 2) % 60 FROM customer WHERE c_custkey < 60 AND c_custkey % 4 <> 0) AS y WHERE b NOT IN (SELECT c_custkey FROM customer)) SELECT 's' || CAST(x.a AS VARCHAR) AS id, NOT bool_or(b % 7 = 3 OR b IN (SELECT a FROM m)) AS complete FROM x GROUP BY x.a",
+    f"WITH RECURSIVE {CALLS}, m AS (SELECT DISTINCT a FROM (SELECT c_custkey AS a, (c_custkey * 3 + 1) % (SELECT count(*) FROM customer) AS b FROM customer WHERE c_custkey % 4 <> 0 UNION ALL SELECT c_custkey, (c_custkey * 5 + 2) % (SELECT count(*) FROM customer) FROM customer WHERE c_custkey % 4 <> 0) AS y WHERE b NOT IN (SELECT c_custkey FROM customer)) SELECT 's' || CAST(x.a AS VARCHAR) AS id, NOT bool_or(b % 7 = 3 OR b IN (SELECT a FROM m)) AS complete FROM x GROUP BY x.a",
 )
 def summary_completeness(spark, sf_dir):
     return solver.solve(solver_tables(spark, sf_dir))["summaries"].select("id", "complete")

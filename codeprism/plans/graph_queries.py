@@ -70,33 +70,30 @@ def reverse_closure(spark, sf_dir):
 
 @register(
     "strong_components",
-    f"WITH RECURSIVE {ctes('calls')}, x AS (SELECT a, b FROM v_calls WHERE a < 300 AND b < 300 UNION SELECT x.a, c.b FROM x JOIN v_calls AS c ON c.a = x.b WHERE c.b < 300), n AS (SELECT a AS id FROM v_calls WHERE a < 300 AND b < 300 UNION SELECT b FROM v_calls WHERE a < 300 AND b < 300), y AS (SELECT a, b FROM x WHERE b < 300) SELECT n.id, least(n.id, coalesce(min(p.b), n.id)) AS component FROM n LEFT JOIN y AS p ON p.a = n.id AND EXISTS (SELECT 1 FROM y AS q WHERE q.a = p.b AND q.b = n.id) GROUP BY n.id",
+    f"WITH RECURSIVE {ctes('calls')}, x AS (SELECT a, b FROM v_calls UNION SELECT x.a, c.b FROM x JOIN v_calls AS c ON c.a = x.b), n AS (SELECT a AS id FROM v_calls UNION SELECT b FROM v_calls) SELECT n.id, least(n.id, coalesce(min(p.a), n.id)) AS component FROM n LEFT JOIN (SELECT p.a, p.b FROM x AS p JOIN x AS q ON q.a = p.b AND q.b = p.a) AS p ON p.b = n.id GROUP BY n.id",
 )
 def strong_components(spark, sf_dir):
-    """Over all calls; the SQL has only ids below 300, so they agree up to 300 parts."""
     return graph.strong_components(view(spark, sf_dir, "calls"))
 
 
 @register(
     "weak_components",
-    f"WITH RECURSIVE {ctes('calls')}, e AS (SELECT a, b FROM v_calls WHERE a < 200 AND b < 200 UNION SELECT b, a FROM v_calls WHERE a < 200 AND b < 200), x AS (SELECT a, b FROM e UNION SELECT x.a, e.b FROM x JOIN e ON e.a = x.b) SELECT a AS id, least(a, min(b)) AS component FROM x WHERE a IN (SELECT a FROM e WHERE a <> b) GROUP BY a",
+    f"WITH RECURSIVE {ctes('calls')}, e AS (SELECT a, b FROM v_calls UNION SELECT b, a FROM v_calls), x AS (SELECT a, b FROM e UNION SELECT x.a, e.b FROM x JOIN e ON e.a = x.b) SELECT a AS id, least(a, min(b)) AS component FROM x WHERE a IN (SELECT a FROM e WHERE a <> b) GROUP BY a",
 )
 def weak_components(spark, sf_dir):
-    """Over all calls; the SQL has only ids below 200, so they agree up to 200 parts."""
     return graph.components(view(spark, sf_dir, "calls"))
 
 
 @register(
     "override_targets",
     f"""WITH RECURSIVE {ctes('callsites', 'call_targets', 'overrides')},
-s AS (SELECT * FROM v_callsites WHERE dispatch_kind = 'virtual' AND owner_symbol_id IN ('fn_1', 'fn_2', 'fn_4', 'fn_7', 'fn_8')),
+s AS (SELECT * FROM v_callsites WHERE dispatch_kind = 'virtual'),
 o AS (SELECT source_id, target_id FROM v_overrides),
 x AS (SELECT DISTINCT static_target_symbol_id AS root, o.source_id AS id FROM s JOIN o ON o.target_id = static_target_symbol_id UNION SELECT x.root, o.source_id FROM x JOIN o ON o.target_id = x.id)
 SELECT s.id AS callsite_id, x.id AS target_symbol_id, 'possible' AS certainty, CAST(0.5 AS DOUBLE) AS confidence, 'indexed_override_candidate' AS derivation, s.build_variant
 FROM s JOIN x ON x.root = s.static_target_symbol_id WHERE x.id <> x.root AND NOT EXISTS (SELECT 1 FROM v_call_targets AS t WHERE t.callsite_id = s.id AND t.target_symbol_id = x.id)""",
 )
 def override_targets(spark, sf_dir):
-    """All sites; the SQL has only those of five owners."""
     sites = view(spark, sf_dir, "callsites")
     one = view(spark, sf_dir, "overrides").drop("build_variant")
     overrides = one.crossJoin(F.broadcast(sites.select("build_variant").distinct()))  # the same hierarchy in each of a few builds
