@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import drop_staged, pick, staged
 
 K, SCALE, STEP = 20, 64, 20
-LEAF = 256
+LEAF = 512
 #: Values of the sample that cuts space, values and number of the cells' boxes, values in a
 #: shard and in a stripe (a value is one component of one vector).
 SAMPLE, BOXES, CELLS, SHARD, STRIPE = 1 << 21, 1 << 18, 1024, 1 << 18, 1 << 21
@@ -137,18 +137,17 @@ class Forest:
         self.first = np.concatenate([t["first"] for t in trees]).tolist()
         self.child = np.concatenate([np.where(t["child"] < 0, -1, t["child"] + n) for t, n in zip(trees, nodes)]).tolist()
         self.span = np.concatenate([t["span"] + n for t, n in zip(trees, rows)]).tolist()
+        self.largest = np.maximum(np.abs(self.lo).max(1), np.abs(self.hi).max(1)).tolist()
         self.visited = 0
 
-    def scores(self, q: np.ndarray, a: int, b: int, least: int) -> list[tuple[int, int]]:
-        """(-score, id) of rows a to b whose score is at least that given; exact, kept within a long."""
+    def scores(self, q: np.ndarray, a: int, b: int, least: int, exact: bool) -> list[tuple[int, int]]:
+        """(-score, id) of rows a to b whose score is at least that given, kept within a long; exact: doubles hold it."""
         x, ids = self.x[a:b], self.ids[a:b]
         self.visited += b - a
-        with np.errstate(over="ignore"):
-            exact = np.abs(x).max() * np.abs(q).max() * len(q) < EXACT
         if exact:
-            s = (x @ q).astype(np.int64)
-            fit = s >= least
-            return list(zip((-s[fit]).tolist(), ids[fit].tolist()))
+            s = x @ q
+            fit = np.flatnonzero(s >= least)
+            return list(zip((-s[fit]).astype(np.int64).tolist(), ids[fit].tolist())) if len(fit) else []
         whole = [int(v) for v in q]
         out = [min(max(sum(int(v) * w for v, w in zip(row, whole)), LEAST), MOST) for row in x]
         return [(-s, i) for s, i in zip(out, ids.tolist()) if s >= least]
@@ -157,6 +156,7 @@ class Forest:
         """(query id, vec id, score): the best k of each query that score at least what is given, without vectors of its own id."""
         for own, v, row, kth in zip(ids.tolist(), q, bounds(q, self.lo, self.hi).tolist(), least):
             best: list[tuple[int, int]] = []
+            reach = EXACT / max(1.0, float(np.abs(v).max())) / len(v)
             last = (-kth, MOST)  # what a hit must come before or equal
             queue = [(-row[r], self.first[r], r) for r in self.roots]
             heapq.heapify(queue)
@@ -167,7 +167,7 @@ class Forest:
                 if top == last[0] and first > last[1]:
                     continue
                 if self.child[at][0] < 0:
-                    hits = self.scores(v, *self.span[at], -last[0])
+                    hits = self.scores(v, *self.span[at], -last[0], self.largest[at] < reach)
                     best = heapq.nsmallest(k, best + [h for h in hits if h[1] != own]) if hits else best
                     if len(best) == k:
                         last = min(last, best[-1])
@@ -217,8 +217,10 @@ def plant(rows: DataFrame, dim: int, n: int, scale: int) -> tuple[DataFrame, dic
             at = space.of(matrix(b.column("v"), scale))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(at, pa.int32())], ["id", "v", "cell"])
 
-    placed = staged(rows.select("id", "v").mapInArrow(place, "id long, v array<double>, cell int"), "knn-cells")
-    held = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # at most CELLS rows
+    placed, held = rows.select("id", "v", F.lit(0).alias("cell")), {0: n}
+    if space.count > 1:
+        placed = staged(rows.select("id", "v").mapInArrow(place, "id long, v array<double>, cell int"), "knn-cells")
+        held = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # at most CELLS rows
     shards = [max(1, -(-held.get(c, 0) * dim // SHARD)) for c in range(space.count)]
     first = np.cumsum([0, *shards])
     of_cell = rows.sparkSession.createDataFrame([(c, int(first[c]), m) for c, m in enumerate(shards)], "cell int, first int, shards int")
@@ -245,13 +247,16 @@ def plant(rows: DataFrame, dim: int, n: int, scale: int) -> tuple[DataFrame, dic
         .withColumn("stripe", F.expr(f"shard div {per_stripe}").cast("int")),
         "knn-trees",
     )
+    if space.count > 1:
+        drop_staged(placed)
+    if first[-1] <= per_stripe:  # all queries meet the only stripe
+        return trees, {"lo": np.zeros((1, dim)), "hi": np.zeros((1, dim)), "stripes": [(0, 0)]}
     lo, hi = np.full((space.count, dim), np.inf), np.full((space.count, dim), -np.inf)
     sides = trees.select("cell", F.posexplode(F.arrays_zip("lo", "hi"))).groupBy("cell", "pos").agg(F.min("col.lo").alias("lo"), F.max("col.hi").alias("hi"))
     for r in sides.collect():  # at most BOXES rows
         lo[r["cell"], r["pos"]], hi[r["cell"], r["pos"]] = r["lo"], r["hi"]
     full = np.flatnonzero(np.isfinite(lo[:, 0]))
     stripes = [(int(first[c]) // per_stripe, (int(first[c + 1]) - 1) // per_stripe) for c in full]
-    drop_staged(placed)
     return trees, {"lo": lo[full], "hi": hi[full], "stripes": stripes}
 
 
