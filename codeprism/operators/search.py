@@ -1,9 +1,9 @@
 """Lexical search with BM25 over weighted columns, symbol search and vector search.
 
-Scores need the term counts of matching rows and five figures of the whole index. One scan
-works out per row its length and the weighted count of each term, with array functions, so
-no posting is shuffled; a second column set of the same scan is summed map-side to one row of
-statistics.
+With an index (postings.Index) a search reads the postings of its terms, takes the best rows
+and joins the few to their columns. Without one, bm25() works out the term counts of each row
+with array functions, which reads and splits all texts twice: once for the statistics of the
+whole table, once for the scores. Both give the same scores.
 """
 
 from __future__ import annotations
@@ -11,15 +11,15 @@ from __future__ import annotations
 import functools
 import operator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.embedding import cosine, is_valid
 from ..functions.text import let, phrases, tokens
 from .lookups import scope_filter, standalone
 from .page import bounded_page, checked_limit
+from .postings import K1, LEAST_IDF, B, Index
 
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 LEXICAL = {"qualified_name": 8.0, "signature": 4.0, "documentation": 2.0, "source_text": 1.0}
 SYMBOL = {"qualified_name": 12.0, "signature": 6.0}
 
@@ -75,30 +75,53 @@ def empty(df: DataFrame) -> DataFrame:
     return df.where(F.lit(False)).withColumn("score", F.lit(0.0))
 
 
-def lexical_search(variants: DataFrame, query: str, scope: tuple[str, ...] | None = None, limit: int = 20) -> DataFrame:
-    """Best variants, by score, then build and id. The scope drops rows after scoring."""
-    found = bm25(variants, query, LEXICAL)
-    found = empty(variants) if found is None else found
-    return scope_filter(found, scope).orderBy(F.desc("score"), "build_variant", "id").limit(checked_limit(limit))
+def best(rows: DataFrame, query: str, weights: dict[str, float], per_column: bool, scope: tuple[str, ...] | None, limit: int, index: Index | None) -> DataFrame:
+    """The best rows with `score`, by score, then build and id. The scope drops rows after scoring."""
+    order = [F.desc("score"), F.col("build_variant"), F.col("id")]
+    if index is None:
+        found = bm25(rows, query, weights, per_column=per_column)
+        return scope_filter(empty(rows) if found is None else found, scope).orderBy(*order).limit(checked_limit(limit))
+    found = index.scores(query, weights, per_column)
+    if found is None:
+        return empty(rows)
+    top = scope_filter(found, scope).orderBy(*order).limit(checked_limit(limit)).select("id", "score")
+    return rows.join(F.broadcast(top), "id").orderBy(*order)  # at most `limit` rows
 
 
-def symbol_search(variants: DataFrame, query: str, scope: tuple[str, ...] | None = None, limit: int = 20) -> DataFrame:
+def lexical_search(variants: DataFrame, query: str, scope: tuple[str, ...] | None = None, limit: int = 20, index: Index | None = None) -> DataFrame:
+    """Best variants, by score, then build and id."""
+    return best(variants, query, LEXICAL, False, scope, limit, index)
+
+
+def symbol_search(variants: DataFrame, query: str, scope: tuple[str, ...] | None = None, limit: int = 20, index: Index | None = None) -> DataFrame:
     """As lexical_search over names and signatures; names equal to, or ending in ::, the query gain after the limit."""
-    found = bm25(variants, query, SYMBOL, per_column=True)
-    found = empty(variants) if found is None else found
-    top = scope_filter(found, scope).orderBy(F.desc("score"), "build_variant", "id").limit(checked_limit(limit))
+    top = best(variants, query, SYMBOL, True, scope, limit, index)
     name, wanted = F.lower(F.trim("qualified_name")), query.strip().casefold()
     bonus = F.when(name == wanted, 2.0).when(F.endswith(name, F.lit("::" + wanted)), 1.0).otherwise(0.0)
     return top.withColumn("score", F.col("score") + bonus).orderBy(F.desc("score"), "qualified_name", "id")
 
 
-def standalone_search(variants: DataFrame, symbols: DataFrame, query: str, limit: int = 20, found: int = 0) -> DataFrame:
+def standalone_search(variants: DataFrame, symbols: DataFrame, query: str, limit: int = 20, found: int = 0, index: Index | None = None) -> DataFrame:
     """Canonical symbols without variants, scored over all canonical symbols, for what is left of a limit."""
-    hits = bm25(symbols, query, {c: w for c, w in LEXICAL.items() if c in symbols.columns})
+    weights = {c: w for c, w in LEXICAL.items() if c in symbols.columns}
+    if index is None:
+        hits = bm25(symbols, query, weights)
+    else:
+        hits = index.scores(query, weights)
+        hits = None if hits is None else hits.select("id", "score").join(symbols, "id")
     hits = empty(symbols) if hits is None else hits
     return standalone(variants, hits).orderBy(F.desc("score"), "id").limit(max(0, limit - found))
 
 
+def hits_with_standalone(variants: DataFrame, symbols: DataFrame, query: str, limit: int = 20, index: Index | None = None, symbol_index: Index | None = None) -> DataFrame:
+    """id, qualified_name, score, position: variant hits, then standalone symbols up to the limit in all. Without a scope only."""
+    first = lexical_search(variants, query, None, limit, index).select(F.lit(0).alias("kind"), "id", "qualified_name", "build_variant", "score")
+    rest = standalone_search(variants, symbols, query, limit, 0, symbol_index).select(F.lit(1).alias("kind"), "id", "qualified_name", F.lit("").alias("build_variant"), "score")
+    order = Window.partitionBy().orderBy("kind", F.desc("score"), "build_variant", "id")  # at most twice the limit
+    every = first.unionAll(rest).withColumn("position", F.row_number().over(order))
+    return every.where(F.col("position") <= limit).select("id", "qualified_name", "score", "position")
+
+
 def vector_search(embeddings: DataFrame, query: list[float], model: str, scope: tuple[str, ...] | None = None, limit: int = 20) -> DataFrame:
     """variant_id, build_variant, score by exact cosine; names are joined to the result, not to all vectors."""
     if not query or not all(abs(x) < float("inf") for x in query) or not any(query):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.embedding import hash_tokens
 from ..views import view
 from . import retrieval
+from .search_queries import index_of
 
 QUERIES, ORACLE = {}, {}
 
@@ -18,7 +19,7 @@ def engine(spark, sf_dir) -> retrieval.Engine:
     near = ids.select(F.col("symbol_id").alias("source_id"), F.concat(F.lit("sym_"), (F.col("k") * 7 + 3) % 400).alias("target_id"), F.lit("calls").alias("relation"), "build_variant")
     evidence = near.select(F.col("source_id").alias("owner_symbol_id"), F.col("target_id").alias("target_symbol_id"), F.lit("certain").alias("certainty"), F.lit(1.0).alias("confidence"), F.lit("direct").alias("derivation"), "build_variant").where("hash(owner_symbol_id) % 2 = 0")
     embed = lambda text: hash_tokens(text.lower().split(), 64)
-    return retrieval.Engine(variants, near, evidence, view(spark, sf_dir, "embeddings"), embed=embed)
+    return retrieval.Engine(variants, near, evidence, view(spark, sf_dir, "embeddings"), embed=embed, index=index_of(spark, sf_dir, "symbol_variants"))
 
 
 def hybrid_retrieval(spark, sf_dir):

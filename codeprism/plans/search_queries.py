@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.embedding import embedding_text, magnitude, with_embedding
 from ..functions.text import feature_tokens, token_estimate, tokens
 from ..operators import fusion, search
+from ..operators.postings import Index
 from ..views import ctes, view
 
 QUERIES, ORACLE = {}, {}
@@ -23,6 +24,20 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+_indexes: dict = {}
+
+
+def index_of(spark, sf_dir, name: str) -> Index:
+    """The search index of a view, made on first use and kept for this application as long as its table stays the same."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    key = spark.sparkContext.applicationId, sf_dir, name
+    stamp = files.getFileStatus(path).getModificationTime(), files.getContentSummary(path).getLength()
+    if _indexes.get(key, (None,))[0] != stamp:
+        _indexes[key] = stamp, Index.create(view(spark, sf_dir, name), tuple(search.LEXICAL))
+    return _indexes[key][1]
+
+
 TOKENS = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}]+')"
 
 
@@ -63,7 +78,7 @@ LEXICAL_SQL = bm25_sql(ctes("symbol_variants"), VARIANTS[1], search.LEXICAL, TER
 @register("bm25_top_k", LEXICAL_SQL + " SELECT id, build_variant, round(score, 6) AS score FROM scored WHERE build_variant IN ('en', 'de') ORDER BY scored.score DESC, build_variant, id LIMIT 20")
 def bm25_top_k(spark, sf_dir):
     """Best variants in two builds; statistics cover all builds."""
-    found = search.lexical_search(view(spark, sf_dir, "symbol_variants"), QUERY, ("en", "de"), 20)
+    found = search.lexical_search(view(spark, sf_dir, "symbol_variants"), QUERY, ("en", "de"), 20, index_of(spark, sf_dir, "symbol_variants"))
     return found.select("id", "build_variant", F.round("score", 6).alias("score"))
 
 
@@ -74,7 +89,7 @@ def bm25_top_k(spark, sf_dir):
 )
 def bm25_phrase(spark, sf_dir):
     """Terms of several tokens are phrases."""
-    found = search.lexical_search(view(spark, sf_dir, "symbol_variants"), "the_of src1::doc7", None, 20)
+    found = search.lexical_search(view(spark, sf_dir, "symbol_variants"), "the_of src1::doc7", None, 20, index_of(spark, sf_dir, "symbol_variants"))
     return found.select("id", "build_variant", F.round("score", 6).alias("score"))
 
 
@@ -85,7 +100,7 @@ def bm25_phrase(spark, sf_dir):
 SELECT id, qualified_name, round(score + CASE WHEN lower(trim(qualified_name)) = 'src3::doc23 en' THEN 2.0 WHEN lower(trim(qualified_name)) LIKE '%::src3::doc23 en' THEN 1.0 ELSE 0.0 END, 6) AS score FROM top""",
 )
 def symbol_search(spark, sf_dir):
-    found = search.symbol_search(view(spark, sf_dir, "symbol_variants"), "src3::doc23 en", None, 20)
+    found = search.symbol_search(view(spark, sf_dir, "symbol_variants"), "src3::doc23 en", None, 20, index_of(spark, sf_dir, "symbol_variants"))
     return found.select("id", "qualified_name", F.round("score", 6).alias("score"))
 
 
@@ -95,10 +110,59 @@ def symbol_search(spark, sf_dir):
     + " SELECT id, round(score, 6) AS score FROM scored AS s WHERE NOT EXISTS (SELECT 1 FROM v_symbol_variants AS v WHERE v.symbol_id = s.id) ORDER BY s.score DESC, id LIMIT 15",
 )
 def standalone_search(spark, sf_dir):
-    found = search.standalone_search(view(spark, sf_dir, "symbol_variants"), view(spark, sf_dir, "symbols"), "pour canon::doc407", 20, 5)
+    found = search.standalone_search(view(spark, sf_dir, "symbol_variants"), view(spark, sf_dir, "symbols"), "pour canon::doc407", 20, 5, index_of(spark, sf_dir, "symbols"))
     return found.select("id", F.round("score", 6).alias("score"))
 
 
+SYMBOL_COLUMNS = {"qualified_name": 8.0, "signature": 4.0}
+
+
+def both_hits(first: str, second: str) -> str:
+    """SQL of variant hits, then canonical symbols without variants, 20 in all."""
+    inner = bm25_sql(ctes("symbols", "symbol_variants"), "v_symbols", SYMBOL_COLUMNS, [(first,), (second,)], list(SYMBOL_COLUMNS), False, "id, qualified_name")
+    outer = bm25_sql(ctes("symbol_variants"), VARIANTS[1], search.LEXICAL, [(first,), (second,)], ALL, False, VARIANTS[0])
+    return f"""SELECT id, qualified_name, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY kind, x.score DESC, build_variant, id) AS INTEGER) AS position FROM (
+SELECT * FROM (SELECT 0 AS kind, id, qualified_name, build_variant, score FROM ({outer} SELECT * FROM scored) ORDER BY score DESC, build_variant, id LIMIT 20)
+UNION ALL SELECT 1, id, qualified_name, '', score FROM ({inner} SELECT * FROM scored AS s WHERE NOT EXISTS (SELECT 1 FROM v_symbol_variants AS v WHERE v.symbol_id = s.id))
+) AS x QUALIFY position <= 20"""
+
+
+@register("hits_with_standalone", both_hits("doc12", "doc417"))
+def hits_with_standalone(spark, sf_dir):
+    """Few variants match, so canonical symbols without variants fill the page."""
+    found = search.hits_with_standalone(view(spark, sf_dir, "symbol_variants"), view(spark, sf_dir, "symbols"), "doc12 doc417", 20, index_of(spark, sf_dir, "symbol_variants"), index_of(spark, sf_dir, "symbols"))
+    return found.select("id", "qualified_name", F.round("score", 6).alias("score"), "position")
+
+
+INDEXED = " UNION ALL ".join(f"SELECT id, unnest({TOKENS.format(c)}) AS term FROM {{rows}}" for c in ALL)
+
+
+@register("index_terms", f"WITH {ctes('symbol_variants')} SELECT term, count(DISTINCT id) AS documents, count(*) AS occurrences FROM ({INDEXED.replace('{rows}', 'v_symbol_variants')}) AS x GROUP BY term")
+def index_terms(spark, sf_dir):
+    """All terms of the index with their documents and occurrences."""
+    return counts_of(index_of(spark, sf_dir, "symbol_variants"))
+
+
+def counts_of(index: Index):
+    total = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
+    return index.postings().groupBy("term").agg(F.count("*").alias("documents"), F.sum(total).alias("occurrences"))
+
+
+@register(
+    "index_terms_after_changes",
+    f"""WITH {ctes('symbol_variants')},
+v AS (SELECT id, qualified_name, signature, documentation, CASE WHEN build_variant = 'fr' THEN 'une autre source' ELSE source_text END AS source_text FROM v_symbol_variants WHERE build_variant <> 'es')
+SELECT term, count(DISTINCT id) AS documents, count(*) AS occurrences FROM ({INDEXED.replace('{rows}', 'v')}) AS x GROUP BY term""",
+)
+def index_terms_after_changes(spark, sf_dir):
+    """An index of its own, whose French rows are replaced and Spanish ones removed, and which is then compacted."""
+    rows = view(spark, sf_dir, "symbol_variants")
+    index = Index.create(rows, tuple(search.LEXICAL))
+    index.apply(rows.where("build_variant = 'fr'").withColumn("source_text", F.lit("une autre source")), rows.where("build_variant = 'es'").select("id"))
+    index.compact()
+    return counts_of(index)
+
+
 AXES = [1.0 if i % 3 == 0 else -0.5 for i in range(64)]
 AXES_SQL = "[" + ", ".join(f"CAST({x} AS DOUBLE)" for x in AXES) + "]"
 
@@ -169,7 +233,7 @@ f AS (SELECT key, sum(CASE backend WHEN 'lexical' THEN 1.0 WHEN 'symbol' THEN 1.
 def ranked(spark, sf_dir):
     """The first 40 of three backends as (backend, rank, key)."""
     variants, embeddings = view(spark, sf_dir, "symbol_variants"), view(spark, sf_dir, "embeddings")
-    lexical = search.lexical_search(variants, QUERY, None, 40).select(F.lit("lexical").alias("backend"), F.col("id").alias("key"), "score", "build_variant")
+    lexical = search.lexical_search(variants, QUERY, None, 40, index_of(spark, sf_dir, "symbol_variants")).select(F.lit("lexical").alias("backend"), F.col("id").alias("key"), "score", "build_variant")
     vector = search.vector_search(embeddings, AXES, "local", None, 40).select(F.lit("vector").alias("backend"), F.col("variant_id").alias("key"), "score", "build_variant")
     order = Window.partitionBy("backend").orderBy(F.desc("score"), "build_variant", "key")
     found = lexical.unionAll(vector).withColumn("rank", F.row_number().over(order)).select("backend", "rank", "key")

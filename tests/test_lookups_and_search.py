@@ -1,3 +1,4 @@
+import random
 import hashlib
 import math
 import sqlite3
@@ -5,6 +6,8 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from codeprism.operators.postings import Index
+from codeprism.sources.staging import Manifests
 from codeprism.functions import embedding, ids, text
 from codeprism.operators import fusion, lookups, page, search
 
@@ -135,3 +138,73 @@ def test_the_only_project_is_chosen(spark):
     for bad in ((projects,), (projects, "/c"), (projects.limit(0),)):
         with pytest.raises(ValueError):
             lookups.project_of(*bad)
+
+
+WORDS = ["parse", "the", "naïve", "file", "Parser", "größe", "tok_en", "a::b", "x1"]
+
+
+def some_rows(spark, r, ids):
+    text = lambda n: " ".join(r.choice(WORDS) for _ in range(r.randint(0, n)))
+    data = [(i, text(3), text(4), text(10) or None, text(60), r.choice(["b1", "b2"]), "s" + i) for i in ids]
+    return spark.createDataFrame(data, "id string, qualified_name string, signature string, documentation string, source_text string, build_variant string, symbol_id string")
+
+
+@pytest.mark.parametrize("query", ["parse", "the naive", "tok_en file", "a::b größe the the", "zzz", "zzz parse x1"])
+def test_index_gives_the_scores_of_a_scan(spark, query, one_index):
+    rows, index = one_index
+    for weights, per_column in ((search.LEXICAL, False), (search.SYMBOL, True)):
+        scan = {r["id"]: r["score"] for r in search.bm25(rows, query, weights, per_column=per_column).collect()}
+        got = {r["id"]: r["score"] for r in index.scores(query, weights, per_column).collect()}
+        assert got == {i: pytest.approx(s) for i, s in scan.items()}
+    for f in (search.lexical_search, search.symbol_search):
+        want = [(r["id"], pytest.approx(r["score"])) for r in f(rows, query, ("b1",), 7).collect()]
+        assert [(r["id"], r["score"]) for r in f(rows, query, ("b1",), 7, index).collect()] == want
+    assert index.scores("--- !", search.LEXICAL) is None
+
+
+@pytest.fixture(scope="module")
+def one_index(spark):
+    """Rows, and an index that came to hold them by a change, a removal and a repeated change."""
+    r = random.Random(4)
+    old = some_rows(spark, r, [f"i{k}" for k in range(60)])
+    new = some_rows(spark, r, [f"i{k}" for k in range(40, 90)])
+    index = Index.create(old, tuple(search.LEXICAL))
+    index.apply(some_rows(spark, r, ["i50", "i41"]))
+    index.apply(new, spark.createDataFrame([("i3",), ("i4",), ("other",)], "id string"))
+    rows = old.where("NOT id IN ('i3', 'i4')").join(new.select("id"), "id", "left_anti").unionByName(new)
+    return rows, index
+
+
+def test_index_statistics_and_compaction(spark, one_index):
+    rows, index = one_index
+    before = sorted(map(str, index.postings().collect()))
+    state = index.state()
+    assert state["rows"] == rows.count() == 88 and state["tokens"] == index.docs().agg({"d": "sum"}).first()[0]
+    index.compact()
+    assert len(index.state()["segments"]) == 1 and sorted(map(str, index.postings().collect())) == before
+    empty = Index.create(rows.limit(0), tuple(search.LEXICAL))
+    assert empty.scores("parse", search.LEXICAL).count() == 0
+
+
+def test_index_reads_the_folders_of_its_terms_only(spark, one_index):
+    plan = one_index[1].postings(["parse"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan or "(bucket#" in plan
+    assert "PushedFilters: [" in plan and "term" in plan.split("PushedFilters: [")[1][:60]
+
+
+def test_hits_are_filled_up_with_standalone_symbols(spark):
+    variants = spark.createDataFrame([("v1", "s1", "alpha", "", "", "", "b"), ("v2", "s2", "alpha beta", "", "", "", "b")], "id string, symbol_id string, qualified_name string, signature string, documentation string, source_text string, build_variant string")
+    symbols = spark.createDataFrame([("s1", "alpha"), ("s3", "alpha three"), ("s4", "alpha"), ("s5", "other")], "id string, qualified_name string")
+    got = [r["id"] for r in search.hits_with_standalone(variants, symbols, "alpha", 3).orderBy("position").collect()]
+    assert got[:2] == ["v1", "v2"] and got[2:] == ["s4"]
+    assert [r["id"] for r in search.hits_with_standalone(variants, symbols, "alpha", 1).collect()] == ["v1"]
+
+
+def test_manifests_take_each_number_once(spark, tmp_path):
+    a, b = Manifests(spark, f"file://{tmp_path}/m"), Manifests(spark, f"file://{tmp_path}/m")
+    assert a.latest() == (0, None)
+    a.commit(1, {"x": 1})
+    a.commit(2, {"x": "é"})
+    with pytest.raises(RuntimeError):
+        b.commit(2, {"x": 3})
+    assert b.latest() == (2, {"x": "é"})
