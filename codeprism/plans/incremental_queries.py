@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources.staging import new_path
 from ..views import ctes, view
 from . import incremental
 
@@ -103,6 +104,47 @@ def canonical_refresh(spark, sf_dir):
     return incremental.refresh_canonical(view(spark, sf_dir, "symbols"), variants, incremental.affected_symbols(variants, gone(spark, sf_dir)))
 
 
+@register(
+    "store_commit",
+    f"""WITH {ctes('symbol_variants')}
+SELECT id, qualified_name, CASE WHEN translation_unit_id = 'tu_src1' THEN 'changed' ELSE signature END AS signature, translation_unit_id, build_variant
+FROM v_symbol_variants WHERE translation_unit_id NOT IN ('tu_src4', 'tu_src9') AND NOT (translation_unit_id = 'tu_src1' AND kind = 'class')""",
+)
+def store_commit(spark, sf_dir):
+    """A store that takes one batch with two units changed and removed, read back: src1 has no classes any more, src4 is empty and src9 gone."""
+    store = incremental.Store(spark, new_path(spark, "store"))
+    rows = view(spark, sf_dir, "symbol_variants").select("id", "qualified_name", "kind", "signature", "translation_unit_id", "build_variant")
+    store.commit({"symbol_variants": rows})
+    batch = rows.where("translation_unit_id = 'tu_src1' AND kind <> 'class'").withColumn("signature", F.lit("changed"))
+    ids = lambda *units: spark.createDataFrame([(u,) for u in units], "id string")
+    store.apply(ids("tu_src1", "tu_src4"), ids("tu_src9"), {"symbol_variants": batch})
+    return store.read("symbol_variants").drop("kind")
+
+
+@register(
+    "store_ingestion",
+    f"""WITH {ctes('symbol_variants')},
+n AS (SELECT id, symbol_id, CASE WHEN build_variant = 'en' AND source = 'src1' THEN 'renamed' ELSE qualified_name END AS qualified_name, is_definition, build_variant, translation_unit_id
+      FROM (SELECT *, substr(translation_unit_id, 4) AS source FROM v_symbol_variants) AS v WHERE NOT (build_variant = 'en' AND source = 'src9')),
+r AS (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY is_definition DESC, build_variant, translation_unit_id, id) AS rn FROM n)
+SELECT symbol_id AS id, qualified_name FROM r WHERE rn = 1""",
+)
+def store_ingestion(spark, sf_dir):
+    """Canonical symbols after three builds came in, one of them a second time with a unit changed and one gone."""
+    store = incremental.Store(spark, new_path(spark, "store"))
+    columns = ["id", "symbol_id", "qualified_name", "signature", "documentation", "source_text", "is_definition", "build_variant", "translation_unit_id"]
+    rows = view(spark, sf_dir, "symbol_variants").select(*columns)
+    rows = rows.withColumn("translation_unit_id", F.concat_ws("@", "translation_unit_id", "build_variant"))
+    units = rows.select(F.col("translation_unit_id").alias("id"), "build_variant").distinct()
+    for build in [r["build_variant"] for r in rows.select("build_variant").distinct().orderBy("build_variant").collect()]:  # a few builds
+        one = F.col("build_variant") == build
+        store.ingest(build, {"symbol_variants": rows.where(one), "translation_units": units.where(one)})
+    edited = rows.where("translation_unit_id = 'tu_src1@en'").withColumn("qualified_name", F.lit("renamed"))
+    left = units.where("build_variant = 'en' AND id <> 'tu_src9@en'")
+    store.ingest("en", {"symbol_variants": edited, "translation_units": units.where("id = 'tu_src1@en'")}, left)
+    return store.read("symbols").select("id", "qualified_name")
+
+
 @register("impacted_functions", f"WITH RECURSIVE {ctes('calls')}, x AS (SELECT 5 AS id UNION SELECT c.a FROM x JOIN v_calls AS c ON c.b = x.id) SELECT CAST(id AS BIGINT) AS id FROM x")
 def impacted_functions(spark, sf_dir):
     return incremental.impacted_functions(view(spark, sf_dir, "calls"), spark.createDataFrame([(5,)], "id long"))

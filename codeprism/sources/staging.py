@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import tempfile
 import uuid
@@ -9,6 +10,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+@contextlib.contextmanager
+def plain_unions(spark: SparkSession):
+    """No unions that keep the partitioning of their parts: with adaptive execution, which may merge
+    the partitions of some parts only, Spark 4.1 fails on them (`Can't zip RDDs`)."""
+    name = "spark.sql.unionOutputPartitioning"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def work_root(spark: SparkSession) -> str:
     """The shared folder in spark.checkpoint.dir; on a local master a temporary one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

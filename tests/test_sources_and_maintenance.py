@@ -224,3 +224,89 @@ def test_entry_imports_without_the_optional_subpackage():
 
     code = "import sys; sys.modules['codeprism.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 60 and set(o) <= set(q) and not any(n.startswith('op1_') for n in q)"
     assert subprocess.run([sys.executable, "-c", code], cwd="/root/repo" if __import__("os").path.exists("/root/repo") else ".").returncode == 0
+
+
+def facts(spark, bodies, build="b"):
+    """Units, variants, call sites, targets, edges and summaries of functions: {name: (unit, callees, virtual callee, overridden)}."""
+    bodies = {n: (f"{build}.{u}", *more) for n, (u, *more) in bodies.items()}  # a unit is one of one build
+    prov = lambda u: (u, f"cfg_{u}", build)
+    p = "translation_unit_id string, build_configuration_id string, build_variant string"
+    units = sorted({u for u, *_ in bodies.values()})
+    make = lambda rows, schema: spark.createDataFrame(rows, f"{schema}, {p}")
+    sites = [(f"{build}:{n}>{c}", n, "virtual" if c == virtual else "direct", c, True, *prov(u)) for n, (u, callees, virtual, _) in bodies.items() for c in callees]
+    a = "array<string>"
+    return {
+        "translation_units": spark.createDataFrame([(u, f"cfg_{u}", f"{u}.cpp", build) for u in units], "id string, build_configuration_id string, source_path string, build_variant string"),
+        "build_configurations": spark.createDataFrame([(f"cfg_{u}", f"{u}.cpp", build) for u in units], "id string, source_path string, build_variant string"),
+        "symbol_variants": make([(f"{build}:{n}", n, f"ns::{n}", str(c), "", "x", True, *prov(u)) for n, (u, c, *_) in bodies.items()], "id string, symbol_id string, qualified_name string, signature string, documentation string, source_text string, is_definition boolean"),
+        "edges": make([(f"{build}:{n}^{o}", n, o, "overrides", *prov(u)) for n, (u, _, _, o) in bodies.items() if o], "id string, source_id string, target_id string, relation string"),
+        "callsites": make(sites, "id string, owner_symbol_id string, dispatch_kind string, static_target_symbol_id string, target_set_complete boolean"),
+        "call_targets": make([(f"t{s[0]}", s[0], s[3], "certain", 1.0, "direct", *s[5:]) for s in sites], "id string, callsite_id string, target_symbol_id string, certainty string, confidence double, derivation string"),
+        "function_summaries": make([(f"{build}:s{n}", n, ["reference"], [f"p{n}"], ["volatile_access"] if n.startswith("v") else [], *prov(u)) for n, (u, *_) in bodies.items()], f"id string, function_symbol_id string, parameter_modes {a}, parameter_location_ids {a}, local_incomplete_reasons {a}"),
+        "summary_effects": make([], f"id string, summary_id string, kind string, location_kind string, certainty string, parameter_index int, access_path {a}, location_id string, source_access_id string"),
+        "summary_return_origins": make([], f"id string, summary_id string, kind string, location_kind string, certainty string, parameter_index int, access_path {a}, location_id string, callsite_id string"),
+        "call_argument_bindings": make([], f"id string, caller_summary_id string, callsite_id string, argument_index int, location_id string, location_kind string, parameter_index int, access_path {a}, writeback_candidate boolean, complete boolean"),
+        "call_result_bindings": make([], "id string, caller_summary_id string, callsite_id string, location_id string, definition_access_id string"),
+    }
+
+
+FIRST = {"main": ("u1", ["base", "leaf"], "base", None), "base": ("u2", [], None, None), "child": ("u2", ["leaf"], None, "base"), "leaf": ("u3", [], None, None), "alone": ("u4", [], None, None)}
+
+
+def test_ingestion_equals_a_store_made_from_the_final_facts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "PARTS", 8)
+    names = ("symbol_variants", "call_targets", "solved_summaries", "symbols", "build_configurations", "translation_units", "embeddings")
+    content = lambda store: {t: sorted(map(str, store.read(t).collect())) for t in names if t in store.manifest()["tables"]}
+    store = incremental.Store(spark, f"file://{tmp_path}/a")
+    assert store.ingest("b", facts(spark, FIRST)) == 5
+    assert {(r["callsite_id"], r["target_symbol_id"]) for r in store.read("call_targets").where("derivation = 'indexed_override_candidate'").collect()} == {("b:main>base", "child")}
+    store.put_embeddings(spark.createDataFrame([(f"b:{n}", "m", [1.0, 2.0], "b") for n in ("leaf", "main", "alone")], "variant_id string, model string, vector array<double>, build_variant string"))
+    files = store.manifest()["tables"]["symbol_variants"]
+    # the leaf gets incomplete, unit u4 goes, and u2 now has another override
+    second = {"main": FIRST["main"], "base": FIRST["base"], "other": ("u2", [], None, "base"), "leaf": ("u3", ["vleaf"], None, None), "vleaf": ("u3", [], None, None)}
+    changed = facts(spark, {n: f for n, f in second.items() if f[0] in ("u2", "u3")})
+    old = store.read("symbols")
+    solved = store.ingest("b", changed, spark.createDataFrame([("b.u1",), ("b.u2",), ("b.u3",)], "id string"))
+    assert solved == 5 and old.count() == 5  # callers of what changed, too; and an old reader still has the old rows
+    fresh = incremental.Store(spark, f"file://{tmp_path}/b")
+    fresh.ingest("b", facts(spark, second))
+    got, want = content(store), content(fresh)
+    vectors = got.pop("embeddings")
+    assert got == want and len(vectors) == 1 and "b:main" in vectors[0]
+    assert not store.read("solved_summaries").where("id = 'b:smain'").first()["complete"]
+    now = store.manifest()["tables"]["symbol_variants"]
+    assert any(now.get(p) == at for p, at in files.items()) and any(now.get(p) != at for p, at in files.items())
+    assert [r["reindex_required"] for r in store.read("build_variants").collect()] == [False]
+    # a second build with the same symbols, which then goes again
+    store.ingest("c", {t: df for t, df in facts(spark, FIRST, "c").items() if t in ("symbol_variants", "translation_units", "build_configurations")})
+    assert store.read("symbols").count() == 7 and store.read("symbol_variants", ("c",)).count() == 5
+    assert store.remove_build("c") and not store.remove_build("c")
+    assert {t: x for t, x in content(store).items() if t != "embeddings"} == want
+
+
+def test_a_reader_between_write_and_switch_sees_the_old_state(spark, tmp_path, monkeypatch):
+    store = incremental.Store(spark, f"file://{tmp_path}/a")
+    rows = variants(spark, [("f", "1", "u1"), ("g", "2", "u2")])
+    store.commit({"symbol_variants": rows})
+    seen = []
+
+    def crash(number, content):
+        seen.append(sorted(r["source_text"] for r in incremental.Store(spark, f"file://{tmp_path}/a").read("symbol_variants").collect()))
+        raise OSError("lost")
+
+    monkeypatch.setattr(store.manifests, "commit", crash)
+    with pytest.raises(OSError):
+        store.commit({"symbol_variants": rows.withColumn("source_text", F.lit("new"))})
+    assert seen == [["1", "2"]]
+    again = incremental.Store(spark, f"file://{tmp_path}/a")
+    assert again.commit({"symbol_variants": rows.withColumn("source_text", F.lit("new"))}) == 2
+    assert [r["source_text"] for r in again.read("symbol_variants").collect()] == ["new", "new"]
+
+
+def test_units_of_a_backend_that_never_completes_are_not_analysed_for_ever(spark):
+    current = spark.createDataFrame([("u", "u.cpp", "c", "light", False)], "id string, source_path string, command_hash string, analysis_backend string, advanced_facts_complete boolean")
+    state = spark.createDataFrame([("u", "c", "h", "light", False)], "id string, command_hash string, content_hash string, analysis_backend string, advanced_facts_complete boolean")
+    hashes = spark.createDataFrame([("u.cpp", "h")], "path string, content_hash string")
+    deps = spark.createDataFrame([], "translation_unit_id string, path string, content_hash string")
+    assert incremental.changed_units(current, state, hashes, deps).count() == 0
+    assert incremental.changed_units(current.drop("advanced_facts_complete"), state, hashes, deps).count() == 1
