@@ -100,7 +100,7 @@ def size_of(text: Column) -> Column:
 
 def keyed(doc_id: Column, text: Column, source: Column, many: bool, seed: int) -> list[Column]:
     """Pattern, size and hash of a row; the hash is a number from 0 to 2^32 - 1."""
-    members = F.array_sort(F.array_distinct(source)) if many else F.array(source)
+    members = F.coalesce(F.array_sort(F.array_distinct(source)), F.array().cast("array<string>")) if many else F.array(source)
     return [
         F.to_json(members).alias("pattern"),
         members.alias("members"),
@@ -145,7 +145,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     source is a string or an array of strings (a document of several sources; source_size
     and target are then those of its first source in code point order, nulls last). A null
-    source is a source of its own; a null text has size 0, and rows of size 0 take nothing.
+    source is a source of its own; a document with an empty or null array belongs to none, and
+    takes nothing, with a source_size and target of 0; a null text has size 0, and rows of size 0 take nothing.
     Rows that are equal in id and text are taken together. An empty table gives no rows;
     other columns are ignored. taken is size times the number of repetitions, at most CAP.
     The driver holds one figure per source and pattern and up to 256 per pattern and level.

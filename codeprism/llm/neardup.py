@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .common import SMALL_BATCHES, WordHash, drop_staged, hashed_texts, mix, pick, settings, slices, staged, whole, worker_memo
 from .graph import components
@@ -359,7 +360,10 @@ def judged_rows(rows: DataFrame) -> DataFrame:
         "members",
     )
     chosen = members.where("doc_id = rep AND n_shingles > 0").select("doc_id").distinct()
-    reps = staged(sigs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "reps")
+    # of several texts under one id that with the least hash stands for all, on every run
+    own = [c for c in sigs.columns if c != "doc_id"]
+    one = sigs.join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*own), F.struct("h1", "h2")).alias("s"))
+    reps = staged(one.select("doc_id", "s.*"), "reps")
     drop_staged(sigs)
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("members")).where("members > 1")
@@ -379,14 +383,17 @@ def judged_rows(rows: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that near_duplicates() keeps, with all their columns.
 
-    Rows that repeat an id count as one document: the first of each id stays. Rows with a
-    null id stay.
+    Rows that repeat an id count as one document: of each id the row with the least hash of
+    its columns stays. Rows with a null id stay.
     """
     judged = staged(near_duplicates(docs, doc_id, text).select("doc_id", "kept"), "kept")
     gone = judged.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone")).distinct()
     plain, names, c = whole(docs, doc_id=doc_id)
     if not judged.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        repeated = plain.where(c["doc_id"].isNotNull()).dropDuplicates([f"_{names.index(doc_id)}"])
+        key = f"_{names.index(doc_id)}"
+        fields = [f for f in plain.columns if f != key]
+        first = F.min_by(F.struct(*fields), F.xxhash64(*[f for f in fields if not isinstance(plain.schema[f].dataType, MapType)])).alias("s")
+        repeated = plain.where(c["doc_id"].isNotNull()).groupBy(key).agg(first).select(key, "s.*").select(*plain.columns)
         plain = repeated.unionAll(plain.where(c["doc_id"].isNull()))
     few = gone.count() <= BROADCAST_ROWS
     return plain.join(F.broadcast(gone) if few else gone, c["doc_id"] == F.col("gone"), "left_anti").toDF(*names)

@@ -1,6 +1,9 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are sorted by page id over range shards; a shard's files roll by compressed size.
+Records are range-sorted by page id: cut points come from a sample of the ids that is drawn by
+payload size, so that shards are about equally large however the ids lie; a shard's files roll
+by compressed size. The cut points do not show in the records, only in the file names, and a
+sample by hash is the same on every run.
 Headers and digests are made anew from the payloads, with a fixed date, so equal tables give
 equal bytes. A file is written under a temporary name and renamed when whole; the manifest
 table, committed last, lists the files that count.
@@ -13,9 +16,10 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, pick, staged
@@ -24,8 +28,8 @@ from .common import new_path, pick, staged
 REVISIT_BYTES = 1000
 #: Compressed size at which a file is rolled, and payload size of a shard.
 ROLL_BYTES, SHARD_BYTES = 32 << 20, 48 << 20
-#: Equal parts of the id range whose sizes the shards are made up from.
-BINS = 4096
+#: Sampled ids per shard, from which its ends are taken, and most shards; beyond that they get larger.
+DRAWN, SHARDS = 16, 1 << 17
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 5
 ID = "<urn:codeprism:page:{}>"
@@ -103,22 +107,44 @@ class Shard:
             self.out, self.seq = None, self.seq + 1
 
 
-def shard_plan(sizes: DataFrame) -> tuple[int, int, list[int]]:
-    """First id, ids per bin, and the shard of each bin: neighbouring bins up to SHARD_BYTES."""
-    lo, hi = sizes.agg(F.min("page_id"), F.max("page_id")).first()
-    if lo is None:
-        return 0, 1, [0]
-    width = max(1, -(-(hi - lo + 1) // BINS))
-    rows = sizes.groupBy(F.expr(f"(page_id - {lo}) div {width}").alias("bin")).agg(F.sum("n").alias("n")).collect()
-    per_bin = {r["bin"]: r["n"] for r in rows}
-    shards, shard, held = [], 0, 0
-    for b in range((hi - lo) // width + 1):
-        n = per_bin.get(b, 0)
-        if held and held + n > SHARD_BYTES:
-            shard, held = shard + 1, 0
-        shards.append(shard)
-        held += n
-    return lo, width, shards
+def cut_points(sizes: DataFrame) -> list[int]:
+    """Ids at which all shards but the first begin, from rows (page_id, digest, n); an id of several shards' size repeats.
+
+    Payloads are drawn by a hash of id and digest with a chance in proportion to their size, so
+    the driver gets about DRAWN ids per shard.
+    """
+    total = sizes.agg(F.sum(F.col("n") + 1)).first()[0] or 0
+    shards = min(SHARDS, -(-total // SHARD_BYTES))
+    if shards < 2:
+        return []
+    share = F.col("size") * (DRAWN * shards / total)
+    luck = F.shiftrightunsigned(F.xxhash64(F.lit(7), "page_id", "digest"), 11) / float(1 << 53)
+    grouped = sizes.where(F.col("page_id").isNotNull()).groupBy("page_id", "digest").agg(F.sum(F.col("n") + 1).alias("size"))
+    drawn = grouped.where(luck < share).select("page_id", F.greatest(share, F.lit(1.0)).alias("weight")).toArrow()
+    ids, weight = drawn.column("page_id").to_numpy(), drawn.column("weight").to_numpy()
+    if not len(ids):
+        return []
+    order = np.lexsort((weight, ids))
+    ends = np.cumsum(weight[order])
+    at = np.searchsorted(ends, ends[-1] * np.arange(1, shards) / shards)
+    return ids[order][np.minimum(at, len(ids) - 1)].tolist()
+
+
+def shards_of(cuts: list[int]) -> tuple[Column, Column]:
+    """The first and the last shard of a row's id, by binary search: one shard, but for ids that fill several. Null ids are in the first."""
+    if not cuts:
+        return F.lit(0), F.lit(0)
+    points = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<long>")  # folded into one constant
+    powers = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)])
+
+    def before(fits) -> Column:
+        """How many cut points fit, which those ahead of one that fits do too."""
+        step = lambda at, p: F.when(F.coalesce(fits(F.get(points, at + p - 1)), F.lit(False)), at + p).otherwise(at)
+        return F.aggregate(powers, F.lit(0), step)
+
+    first, last = before(lambda c: c < F.col("page_id")), before(lambda c: c <= F.col("page_id"))
+    # an id that is the end of one shard only begins the next
+    return F.when(last - first > 1, first).otherwise(last), last
 
 
 def write(pages: DataFrame, root: str | None = None, page_id: str = "page_id", url: str = "url", payload: str = "html", roll: int = ROLL_BYTES) -> tuple[str, DataFrame]:
@@ -127,7 +153,8 @@ def write(pages: DataFrame, root: str | None = None, page_id: str = "page_id", u
     Null payloads are empty, null urls get a placeholder. Of rows with equal payloads of at
     least REVISIT_BYTES that with the largest id is a response (all of them, if several share
     that id), the others are revisits without payload; rows with a null id are responses of
-    the first shard. Repeated rows are written as often as they come. An empty table gives an
+    the first shard. Rows of one id that fill several shards are dealt to them by their
+    payload and url. Repeated rows are written as often as they come. An empty table gives an
     empty manifest; other columns are ignored.
     """
     spark = pages.sparkSession
@@ -140,17 +167,15 @@ def write(pages: DataFrame, root: str | None = None, page_id: str = "page_id", u
     large = narrow.where(F.col("n") >= REVISIT_BYTES)
     firsts = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("rows")).where("rows > 1")
     revisits = large.join(firsts, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
-    lo, width, shards = shard_plan(narrow)
-    shard_of = spark.createDataFrame(list(enumerate(shards)), "bin long, shard int")  # at most BINS rows
-    # a revisit's decision goes to its shard beside the pages, and sorts before its page
-    decided = revisits.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "digest", F.lit(None).cast("long").alias("n"), "refers_to", F.lit(0).alias("kind"))
-    pages_too = rows.select("page_id", "url", "payload", "digest", "n", F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind"))
+    cuts = cut_points(narrow)
+    first, last = shards_of(cuts)
+    # a revisit's decision goes to the shards of its id beside the pages, and sorts before its page
+    none = lambda kind: F.lit(None).cast(kind)
+    decided = revisits.select(F.explode(F.sequence(first, last)).alias("shard"), "page_id", none("string").alias("url"), none("string").alias("payload"), none("long").alias("n"), "digest", "refers_to", F.lit(0).alias("kind"))
+    dealt = (first + F.pmod(F.xxhash64("digest", "url"), last - first + 1)).cast("int")
+    both = decided.unionAll(rows.select(dealt.alias("shard"), "page_id", "url", "payload", "n", "digest", none("long").alias("refers_to"), F.lit(1).alias("kind")))
     placed = (
-        decided.unionAll(pages_too)
-        .withColumn("bin", F.coalesce(F.expr(f"(page_id - {lo}) div {width}"), F.lit(0)))
-        .join(F.broadcast(shard_of), "bin", "left")
-        .select(F.coalesce("shard", F.lit(0)).alias("shard"), "page_id", "url", "payload", "n", "digest", "refers_to", "kind")
-        .repartitionById(shards[-1] + 1, F.col("shard"))
+        both.repartitionById(len(cuts) + 1, F.col("shard"))
         .sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     )
     _make_dir(spark, root)

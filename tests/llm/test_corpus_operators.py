@@ -350,3 +350,41 @@ def test_pipeline_equals_its_stages_done_plainly(spark, tmp_path):
     expected = sum(n * (len(tokenizer.encode(texts[i], add_special_tokens=False).ids) + 1) for i, n in mixed.items())
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sum(x["length"] for x in out) == expected and {x["doc_id"] for x in out} == set(mixed)
+
+
+def test_warc_shards_of_outlying_and_very_large_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SHARD_BYTES", 20_000)
+    r = random.Random(8)
+    body = lambda i: f"<p>{i} " + "".join(r.choice("abcdefgh") for _ in range(900))
+    data = [(i, f"u{i}", body(i)) for i in range(300)] + [(10**15, "far", body(0)), (-(2**63), "low", body(1)), (2**63 - 1, "high", body(2))]
+    data += [(77, f"hot{i}", body(i) * 2) for i in range(150)] + [(None, "none", body(3))]
+    big = "<b>" + "z" * 1200
+    data += [(77, "copy", big), (78, "copy", big), (90, "copy", big)]
+    rows = spark.createDataFrame(data, "page_id long, url string, html string")
+    root, manifest = warc.write(rows, f"file://{tmp_path}/w")
+    files = manifest.collect()
+    assert sum(f["records"] for f in files) == len(data) and max(f["records"] for f in files) < 80
+    ends = [r["page_id"] for r in warc.read(root, manifest).collect()]
+    assert sorted(map(str, ends)) == sorted(str(i) for i, _, _ in data)
+    got = {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read(root, manifest).where(f"payload_bytes = {len(big)}").collect()}
+    assert got == {(77, "revisit", 90), (78, "revisit", 90), (90, "response", None)}
+    again, manifest2 = warc.write(rows.repartition(5), f"file://{tmp_path}/w2")
+    assert sorted(map(str, files)) == sorted(map(str, manifest2.collect()))
+
+
+def test_mixing_of_null_arrays_repeated_rows_and_clashing_names(spark):
+    data = [(i, "w " * 10, ["a"] if i % 2 else ["a", "b"], "x") for i in range(40)] + [(50, "w w", None, "x"), (51, "w w", [], "x"), (52, None, [None, "a"], "x")]
+    rows = spark.createDataFrame(data + data[:3], "doc_id long, text string, source array<string>, SOURCE string")
+    got = mixing.mix(rows).collect()
+    assert len(got) == 46 and all(0 <= x["taken"] <= 2 * x["size"] for x in got)
+    assert {(x["doc_id"], x["taken"], x["source_size"]) for x in got if x["doc_id"] in (50, 51)} == {(50, 0, 0), (51, 0, 0)}
+    twice = collections.Counter((x["doc_id"], x["taken"]) for x in got if x["doc_id"] < 3)
+    assert set(twice.values()) == {2}  # repeated rows are taken together
+
+
+def test_repeated_ids_keep_the_same_row_on_every_run(spark):
+    rows = spark.createDataFrame([(3, f"text number {i % 4} " * 5, str(i)) for i in range(12)] + [(4, "other " * 9, "z")], "doc_id long, text string, note string")
+    runs = [sorted(map(str, neardup.deduplicate(rows.repartition(n)).collect())) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 2
+    judged = [sorted(map(str, neardup.near_duplicates(rows.repartition(n)).collect())) for n in (1, 5)]
+    assert judged[0] == judged[1]
