@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .urls import FOLDERS, HOSTS, PAGES, SUFFIXES
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 OP9 = rf"""
@@ -68,7 +70,8 @@ r AS (SELECT *, CASE
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('example.net/de/8', 'com/en/', 'org/es/') THEN 'block'
     WHEN rule IS NOT NULL THEN 'allow'
-    WHEN regexp_matches(host || path, '^([^/]*\.)?(cheap-pills|spam-farm|ads|tracker)\.|/adserver/|/popunder/|-casino\.') THEN 'block'
+    WHEN regexp_matches(host || path, '/({"|".join(PAGES)})([^0-9A-Za-z_.%-]|$)') THEN 'allow'
+    WHEN regexp_matches(host || path, '^([^/]*\.)?({"|".join(HOSTS)})\.|/({"|".join(FOLDERS)})/|-({"|".join(SUFFIXES)})\.') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM r""".replace("\\\\", "\\")
 

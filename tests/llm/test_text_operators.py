@@ -294,3 +294,35 @@ def test_html_of_very_long_pages():
     body = "".join(f"<p>paragraph {i} it's \"so\"</p>" for i in range(60_000))
     assert len(html.main_text(f"<article>{body}</article>").split("\n\n")) == 60_000
     assert html.main_text("<p title=\"" * 20_000) == ""
+
+
+def test_rules_of_a_list(spark, tmp_path):
+    (tmp_path / "rules.txt").write_text("! a comment\nblock ||ads.\n\n allow  /policy^ \n")
+    rows = [(r["pattern"], r["verdict"], r["name"]) for r in urls.read_rules(spark, f"file://{tmp_path}/rules.txt").collect()]
+    assert rows == [("||ads.", "block", None), ("/policy^", "allow", None)]
+    with pytest.raises(ValueError):
+        list(urls.parse_rules(["drop ||x."]))
+
+
+def test_many_rules_by_index_and_by_join(spark, monkeypatch):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    pages = [(i, f"http://{r.choice(words)}.{r.choice(words)}.com/{r.choice(words)}/{r.choice(words)}-{r.choice(words)}?q") for i in range(400)]
+    pages += [(None, pages[0][1]), (7, None), (7, "no scheme"), (8, "x://" + "w1." * 4000 + "com/" + "w2/" * 4000), *[(9, pages[1][1])] * 30]
+    rules = [urls.UrlRule(f"||{r.choice(words)}.{r.choice(words)}.", r.choice(["block", "allow"])) for _ in range(20_000)]
+    rules += [urls.UrlRule(f"/{r.choice(words)}/{r.choice(words)}-*", r.choice(["block", "allow"])) for _ in range(20_000)] + [urls.UrlRule("*9-w1*", "block"), *urls.NAMED]
+    table = spark.createDataFrame([(p, u, "z") for p, u in pages], "page_id long, url string, URL string")
+    by_index = sorted(map(str, urls.filter_urls(table, rules=rules).collect()))
+    assert len(by_index) == len(pages) and {"block", "allow"} <= {x.split("verdict='")[1][:5] for x in by_index}
+    monkeypatch.setattr(urls, "MAX_RULES", 100)
+    assert sorted(map(str, urls.filter_urls(table, rules=rules).collect())) == by_index
+    as_table = spark.createDataFrame([(x.pattern, x.verdict, x.name) for x in rules], "pattern string, verdict string, name string")
+    assert sorted(map(str, urls.filter_urls(table, rules=as_table).collect())) == by_index
+    assert urls.filter_urls(table.limit(0), rules=rules).count() == 0
+
+
+def test_index_of_100_000_rules_tries_few():
+    rules = [urls.UrlRule(f"||host{i}.example.", "block") for i in range(100_000)]
+    index = urls.Index(rules, {"example": 10**6})
+    assert max(map(len, index.by_token.values())) == 1 and not index.always
+    assert index.judge("a.host77.example.com", "/x") == (None, "block") and index.judge("example.com", "/x") == (None, "allow")
