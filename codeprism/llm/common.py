@@ -40,9 +40,11 @@ def whole(df: DataFrame, **columns: str) -> tuple[DataFrame, list[str], dict[str
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder in spark.checkpoint.dir; on a local master a temporary one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="codeprism-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir() or root
@@ -171,12 +173,19 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys in order without repeats, and the place of each key there.
 
     Sorts the high bits with positions in the low ones, which is several times faster than an
-    argsort. Two keys with equal high bits may then come in turns and repeat in the result.
+    argsort. Where two keys differ in the bits left out only, and so may come out of order, the
+    argsort is done after all.
     """
     n = len(keys)
+    if not n:
+        return keys, np.zeros(0, np.int64)
     low = np.uint64((1 << max(1, n.bit_length())) - 1)
-    order = (np.sort((keys & ~low) | np.arange(n, dtype=np.uint64)) & low).astype(np.int64)
+    up = np.uint64(64 - max(1, int(keys.max()).bit_length()))
+    order = (np.sort(((keys << up) & ~low) | np.arange(n, dtype=np.uint64)) & low).astype(np.int64)
     ordered = keys[order]
+    if (ordered[1:] < ordered[:-1]).any():
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
     first = np.ones(n, bool)
     np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
     place = np.empty(n, np.int64)

@@ -65,63 +65,75 @@ def test_place_keeps_counts_and_capacity(seed):
         assert len(set(zip(sequence.tolist(), offset.tolist()))) == n
 
 
-def plain_scores(texts):
+def plain_scores(texts, tree):
     """The suffix tree with dictionaries."""
     toks = [[*(t or "").encode().lower().split(), b"\n"] for t in texts]
     train = [i for i in range(len(texts)) if not lm.held_out(i)]
     uni = collections.Counter(w for i in train for w in toks[i])
     n, v = sum(uni.values()), len(uni)
-    grams = [collections.Counter(), collections.Counter()]  # (context, word) of one and two words
-    at = lambda ws, k, d: None if k < d - 1 else tuple([b"\n", *ws][k + 1 - d : k + 1])
+    depths = range(1, tree.depth + 1)
+    context = lambda ws, k, d: None if k < d - 1 else tuple([b"\n", *ws][k + 1 - d : k + 1])
+    grams = {d: collections.Counter() for d in depths}
     for i in train:
         for k, w in enumerate(toks[i]):
-            for d in (1, 2):
-                if (c := at(toks[i], k, d)) is not None:
-                    grams[d - 1][c, w] += 1
-    seen = [{(w,): uni[w] for w in uni}, {(*c, w): x if x >= 2 and uni[c[0]] >= lm.NMIN and uni[w] >= 2 else 0 for (c, w), x in grams[0].items()}]
+            for d in depths:
+                if (c := context(toks[i], k, d)) is not None:
+                    grams[d][c, w] += 1
+    stored = {0: {((), w): x for w, x in uni.items()}}
+    seen = lambda c: stored[len(c) - 1].get((c[:-1], c[-1]), 0)
+    for d in depths:  # next words seen twice or more, of contexts seen often enough, whose shorter n-gram was stored
+        stored[d] = {(c, w): x for (c, w), x in grams[d].items() if x >= 2 and seen(c) >= tree.least and stored[d - 1].get((c[1:], w), 0) >= 2}
     root = lambda w: (uni[w] + 0.5) / (n + 0.5 * (v + 1))
-    stored, rest = [{}, {}], [{}, {}]
+    rest = {}
 
-    def p(c, w, d):
-        if d == 0:
+    def p(c, w):
+        if not c:
             return root(w)
-        low = p(c[1:], w, d - 1)
-        if c not in rest[d - 1]:
+        low = p(c[1:], w)
+        if c not in rest:
             return low
-        x = stored[d - 1].get((c, w), 0)
-        return rest[d - 1][c] * low + (max(x - lm.DISCOUNT, 0) / seen[d - 1][c] if x else 0)
+        x = stored[len(c)].get((c, w), 0)
+        return rest[c] * low + (max(x - tree.discount, 0) / seen(c) if x else 0)
 
-    for d in (1, 2):
+    for d in depths:
         of = collections.defaultdict(dict)
-        for (c, w), x in grams[d - 1].items():
-            able = seen[d - 1].get(c, 0) >= lm.NMIN and (uni[w] >= 2 if d == 1 else seen[1].get((c[1], w), 0) >= 2)
-            if able and x >= 2:
-                of[c][w] = x
+        for (c, w), x in stored[d].items():
+            of[c][w] = x
         for c, ws in of.items():
-            if d == 2 and c[1:] not in rest[0]:
+            if d > 1 and c[1:] not in rest:
                 continue
-            total = seen[d - 1][c]
-            r = max(1 - sum(x - lm.DISCOUNT for x in ws.values()) / total, 1e-12)
-            gain = sum(x * math.log((x - lm.DISCOUNT) / total / p(c[1:], w, d - 1)) for w, x in ws.items()) + (total - sum(ws.values())) * math.log(r)
-            if gain >= lm.GAIN:
-                rest[d - 1][c] = r
-                stored[d - 1] |= {(c, w): x for w, x in ws.items()}
+            total = seen(c)
+            r = max(1 - sum(x - tree.discount for x in ws.values()) / total, 1e-12)
+            gain = sum(x * math.log((x - tree.discount) / total / p(c[1:], w)) for w, x in ws.items()) + (total - sum(ws.values())) * math.log(r)
+            if gain >= tree.gain:
+                rest[c] = r
     out = []
     for ws in toks:
         s = 0.0
         for k, w in enumerate(ws):
-            c = at(ws, k, 2)
-            s += math.log10(p(c, w, 2) if c is not None else p(at(ws, k, 1), w, 1))
+            c = next(c for d in range(tree.depth, 0, -1) if (c := context(ws, k, d)) is not None)
+            while c and any(c[j:] not in rest for j in range(len(c))):
+                c = c[1:]
+            s += math.log10(p(c, w))
         out.append((len(ws), sum(uni[w] > 0 for w in ws), n, sum(math.log10(root(w)) for w in ws), s))
-    return out
+    return out, collections.Counter(map(len, rest))
 
 
-def test_scores_equal_a_plain_suffix_tree(spark, monkeypatch):
+@pytest.mark.parametrize("tree", [lm.Tree(), lm.Tree(depth=2), lm.Tree(depth=5, least=3, gain=1.0), lm.Tree(depth=3, least=2)])
+def test_scores_equal_a_plain_suffix_tree(spark, monkeypatch, tree):
     r = random.Random(3)
-    texts = [None, "", "Alone"] + [" ".join(r.choice(["the cat sat", "on the mat", "a dog", "The", "rare%d" % r.randint(0, 30)]) for _ in range(r.randint(1, 40))) for _ in range(120)]
+    phrases = ["the cat sat on the mat today", "on the mat", "a dog", "The", "a dog that sat on a cat", "rare%d"]
+    texts = [None, "", "Alone"] + [" ".join(r.choice(phrases).replace("%d", str(r.randint(0, 30))) for _ in range(r.randint(1, 40))) for _ in range(120)]
+    chance = collections.defaultdict(r.random)  # two words whose next depends on the last five
+    for _ in range(150):
+        ws = list("uvuvu")
+        for _ in range(r.randint(1, 150)):
+            ws.append("u" if r.random() < chance[tuple(ws[-5:])] else "v")
+        texts.append(" ".join(ws))
     monkeypatch.setattr(lm, "CHUNK", 500)
-    got = {x["doc_id"]: x for x in lm.score_documents(documents(spark, texts)).collect()}
-    expected = plain_scores(texts)
+    got = {x["doc_id"]: x for x in lm.score_documents(documents(spark, texts), tree=tree).collect()}
+    expected, nodes = plain_scores(texts, tree)
+    assert all(nodes[d] for d in range(1, tree.depth + 1))
     for i, (n, known, tokens, base, score) in enumerate(expected):
         x = got[i]
         assert (x["n_tokens"], x["n_known"], x["train_tokens"], x["held_out"]) == (n, known, tokens, lm.held_out(i))
@@ -130,6 +142,19 @@ def test_scores_equal_a_plain_suffix_tree(spark, monkeypatch):
     assert sum(x["score"] for x in held) > sum(x["base_score"] for x in held)
 
 
+def test_distinct_of_keys_that_share_their_high_bits():
+    a, b = np.uint64(5 << 40), np.uint64((5 << 40) + 1)
+    for keys in ([a, b, a, b, a], [b, a, b], [a] * 3, []):
+        keys = np.array(keys * 1000, np.uint64) << np.uint64(20)
+        own, place = common.distinct(keys)
+        assert own.tolist() == sorted(set(keys.tolist())) and (not len(keys) or (own[place] == keys).all())
+    r = np.random.default_rng(1)
+    keys = r.integers(0, 300, 5000).astype(np.uint64)
+    own, place = common.distinct(keys)
+    assert (own == np.unique(keys)).all() and (own[place] == keys).all()
+    assert (lm.from_key_planes(lm.key_planes(own)) == own).all()
+
+
 def test_scores_of_empty_and_repeated_rows(spark):
     assert lm.score_documents(documents(spark, ["a"]).limit(0)).count() == 0
     rows = spark.createDataFrame([(None, "a b"), (None, "a b"), (7, "a b"), (7, None)], "doc_id long, text string")
