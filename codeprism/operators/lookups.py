@@ -109,10 +109,20 @@ def preferred(variants: DataFrame, by: str = "symbol_id") -> DataFrame:
     return best.select(by, *[f"b.{c}" for c in columns])
 
 
-def get_symbol(variants: DataFrame, key: str, scope: tuple[str, ...] | None = None) -> DataFrame:
-    """The preferred variant whose symbol id or own id is key."""
+def get_symbol(variants: DataFrame, key: str, scope: tuple[str, ...] | None = None, symbols: DataFrame | None = None) -> DataFrame:
+    """The preferred variant whose symbol id or own id is key.
+
+    With canonical symbols, and `default` in scope (or no scope), one of them is taken where no
+    variant is found; the columns that it has not are null.
+    """
     hits = scope_filter(variants, scope).where((F.col("symbol_id") == key) | (F.col("id") == key))
-    return hits.orderBy(F.desc("is_definition"), "build_variant", "translation_unit_id", "id").limit(1)
+    order = [F.desc("is_definition"), F.col("build_variant"), F.col("translation_unit_id"), F.col("id")]
+    if symbols is None or (scope is not None and "default" not in scope):
+        return hits.orderBy(*order).limit(1)
+    canonical = symbols.where(F.col("id") == key).select(F.col("id").alias("symbol_id"), *symbols.columns)
+    canonical = canonical.withColumn("build_variant", F.lit("default")).withColumn("_kind", F.lit(1))
+    every = hits.withColumn("_kind", F.lit(0)).unionByName(canonical.select(*[c for c in canonical.columns if c in (*hits.columns, "_kind")]), allowMissingColumns=True)
+    return every.orderBy("_kind", *order).limit(1).drop("_kind")
 
 
 def get_symbols(variants: DataFrame, keys: list[str], scope: tuple[str, ...] | None = None) -> DataFrame:

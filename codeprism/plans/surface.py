@@ -1,12 +1,15 @@
 """Tools and HTTP routes over the services: JSON in, JSON out, with hard maxima.
 
 Failures are reported by kind: 422 for bad requests, 503 for what is not configured, 502 for a
-failing provider. Answers hold no absolute paths.
+failing provider. The source root does not appear in answers: paths below it become relative.
 """
 
 from __future__ import annotations
 
+import inspect
 import json
+import re
+from collections import Counter
 from dataclasses import dataclass, field
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
@@ -38,6 +41,9 @@ class Tools:
     provider: object = None
     evidence: DataFrame | None = None
     indexer: object = None
+    index: object = None
+    embed: object = None
+    model: str = "local"
     names: tuple[str, ...] = field(default=("list_builds", "control_flow", "data_flow", "index_project", "search_code", "read_symbol", "neighbors", "callers", "callees", "ask_code"), init=False)
 
     def call(self, name: str, arguments: dict) -> dict:
@@ -49,7 +55,7 @@ class Tools:
         if extra := set(arguments) - set(known):
             raise ValueError(f"unknown arguments: {', '.join(sorted(extra))}")
         try:
-            return method(**arguments)
+            return redacted(method(**arguments), self.root)
         except TypeError as error:
             raise ValueError(str(error).split("()")[-1].strip()) from None
 
@@ -79,13 +85,14 @@ class Tools:
         scope = self.scope(builds)
         return rows(services.data_flow(self.tables, function, scope, max_graphs, max_locations, max_accesses, max_evidence), scope)
 
-    def index_project(self, path: str) -> dict:
+    def index_project(self, build: str, database: str) -> dict:
         if self.indexer is None:
             raise NotConfigured("no indexer is configured")
-        return self.indexer(path)
+        return self.indexer(build, database)
 
     def engine(self, scope: tuple[str, ...]) -> retrieval.Engine:
-        return retrieval.Engine(self.tables["symbol_variants"], self.tables["edges"], self.evidence, scope=scope)
+        vectors = self.tables.get("embeddings") if self.embed is not None else None
+        return retrieval.Engine(self.tables["symbol_variants"], self.tables["edges"], self.evidence, vectors, self.model, self.embed, scope, self.index)
 
     def search_code(self, query: str, builds=None, tokens: int = 4000, results: int = 20) -> dict:
         scope = self.scope(builds)
@@ -107,11 +114,14 @@ class Tools:
         if unknown := set(relations or ()) - set(RELATIONS):
             raise ValueError(f"unknown relations: {', '.join(sorted(unknown))}")
         limit, most = self.within("fan_out", fan_out), MAXIMA["graph_results"]
-        # one more per node than asked for tells whether edges are hidden
         every = self.within("depth", depth)
         kept = graph.neighbors(self.tables["edges"], symbol, relations, every, direction, most, limit, scope)
-        more = graph.neighbors(self.tables["edges"], symbol, relations, every, direction, most + 1, limit + 1, scope)
-        return {"edges": kept, "truncated": len(more) > len(kept), "builds": list(scope)}
+        # a node that shows as many edges as asked for may hide others: only those are looked at again
+        ends = Counter(x for e in kept for x in {e["source_id"], e["target_id"]})
+        cut = len(kept) >= most or any(n >= limit for n in ends.values())
+        if cut and len(kept) < most:
+            cut = len(graph.neighbors(self.tables["edges"], symbol, relations, every, direction, most + 1, limit + 1, scope)) > len(kept)
+        return {"edges": kept, "truncated": cut, "builds": list(scope)}
 
     def _calls(self, symbol: str, builds, incoming: bool, fan_out: int) -> dict:
         scope = self.scope(builds)
@@ -132,6 +142,20 @@ class Tools:
         return retrieval.answer(lambda q: retrieval.retrieve(engine, q, size), self.provider, question, self.within("steps", steps))
 
 
+def redacted(value, root: str | None):
+    """JSON whose texts do not name the source root."""
+    if isinstance(value, dict):
+        return {k: redacted(v, root) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [redacted(v, root) for v in value]
+    if isinstance(value, str) and root:
+        plain = re.sub(r"^[a-z0-9]+:(//)?", "", root.rstrip("/"))
+        for form in (root.rstrip("/"), plain):
+            if len(form) > 1:
+                value = value.replace(f"{form}/", "").replace(form, ".")
+    return value
+
+
 def rows(df: DataFrame, scope: tuple[str, ...]) -> dict:
     """A bounded page as JSON; `truncated` is taken out of the rows."""
     found = [r.asDict(recursive=True) for r in df.collect()]
@@ -193,3 +217,58 @@ def serve(tools: Tools, host: str = "127.0.0.1", port: int = 8000) -> ThreadingH
             pass
 
     return ThreadingHTTPServer((host, port), Handler)
+
+
+#: The JSON types of tool arguments by their Python ones.
+JSON_TYPES = {"int": "integer", "str": "string"}
+MCP_VERSION = "2024-11-05"
+
+
+def tool_schemas(tools: Tools) -> list[dict]:
+    """Name, purpose and input schema of each tool, from its signature; lists are given without a type of their own."""
+    out = []
+    for name in tools.names:
+        signature = inspect.signature(getattr(type(tools), name))
+        given = list(signature.parameters.values())[1:]
+        properties = {p.name: {"type": "array", "items": {"type": "string"}} if p.annotation is p.empty else {"type": JSON_TYPES[p.annotation]} for p in given}
+        needed = [p.name for p in given if p.default is p.empty]
+        out.append({"name": name, "description": name.replace("_", " "), "inputSchema": {"type": "object", "properties": properties, "required": needed, "additionalProperties": False}})
+    return out
+
+
+def mcp_answer(tools: Tools, message: dict) -> dict | None:
+    """The JSON-RPC answer to one message of the Model Context Protocol; None for notifications."""
+    number, method, params = message.get("id"), message.get("method"), message.get("params") or {}
+    if number is None:
+        return None
+    reply = {"jsonrpc": "2.0", "id": number}
+    if method == "initialize":
+        return reply | {"result": {"protocolVersion": params.get("protocolVersion") or MCP_VERSION, "capabilities": {"tools": {}}, "serverInfo": {"name": "codeprism", "version": "1"}}}
+    if method == "ping":
+        return reply | {"result": {}}
+    if method == "tools/list":
+        return reply | {"result": {"tools": tool_schemas(tools)}}
+    if method != "tools/call":
+        return reply | {"error": {"code": -32601, "message": "there is no such method"}}
+    try:
+        found, failed = json.dumps(tools.call(params.get("name"), params.get("arguments") or {}), default=str), False
+    except (ValueError, NotConfigured, ConnectorError) as error:
+        found, failed = str(redacted(str(error), tools.root)), True
+    except Exception as error:  # what goes wrong inside is not shown
+        found, failed = f"the tool failed: {type(error).__name__}", True
+    return reply | {"result": {"content": [{"type": "text", "text": found}], "isError": failed}}
+
+
+def serve_mcp(tools: Tools, source, sink) -> None:
+    """Answer messages, one JSON object a line, until the source ends."""
+    for line in source:
+        if not line.strip():
+            continue
+        try:
+            message = json.loads(line)
+            answer = mcp_answer(tools, message) if isinstance(message, dict) else {"jsonrpc": "2.0", "id": None, "error": {"code": -32600, "message": "a request is an object"}}
+        except ValueError:
+            answer = {"jsonrpc": "2.0", "id": None, "error": {"code": -32700, "message": "not JSON"}}
+        if answer is not None:
+            sink.write(json.dumps(answer) + "\n")
+            sink.flush()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import shlex
 
 import pandas as pd
@@ -13,7 +14,7 @@ from ..functions.ids import stable_id
 
 SCHEMA = "directory string, file string, arguments array<string>, command string, output string"
 #: Options that are dropped with, or without, the value after them.
-DROPPED_WITH_VALUE = ("-o", "-MF", "-MT", "-MQ")
+DROPPED_WITH_VALUE = ("-o", "--output", "-MF", "-MT", "-MQ")
 DROPPED = ("-c", "-M", "-MM", "-MD", "-MMD", "-MG", "-MP")
 #: Options whose value is a path.
 PATH_OPTIONS = ("-I", "-isystem", "-iquote", "-idirafter", "-include", "-imacros", "-isysroot", "--sysroot")
@@ -41,7 +42,7 @@ def normalise(arguments: list[str], directory: str, source: str) -> list[str]:
     for w in words:
         if w in DROPPED_WITH_VALUE:
             next(words, None)
-        elif w in DROPPED or any(w.startswith(d) and len(w) > len(d) for d in DROPPED_WITH_VALUE):
+        elif w in DROPPED or w.startswith(("-o", "--output=")):
             continue
         elif w in PATH_OPTIONS:
             value = next(words, None)
@@ -60,11 +61,17 @@ def compiler_arguments(arguments: pd.Series, directory: pd.Series, source: pd.Se
     return pd.Series([None if a is None else normalise(list(a), d, s) for a, d, s in zip(arguments, directory, source)], dtype=object)
 
 
-def load(spark: SparkSession, path: str, build_variant: str) -> DataFrame:
+@F.pandas_udf(T.StringType())
+def missing_path(directory: pd.Series, source: pd.Series) -> pd.Series:
+    """Which of directory and file is not there, for the file systems that executors have; null if both are."""
+    return pd.Series([None if os.path.isdir(d) and os.path.isfile(absolute(d, s)) else "file" if os.path.isdir(d) else "directory" for d, s in zip(directory, source)], dtype=object)
+
+
+def load(spark: SparkSession, path: str, build_variant: str, check_paths: bool = False) -> DataFrame:
     """Build configurations of a JSON array of entries.
 
     Each entry has exactly one of arguments and command, a directory and a file; others are an
-    error, as is an empty database. Of entries with one id the first stays. `position` is the
+    error, as is an empty database, and with check_paths a directory or file that is not there. Of entries with one id the first stays. `position` is the
     place in the file: a database is one JSON value, so it is read as one row.
     """
     text = spark.read.text(path, wholetext=True)
@@ -75,6 +82,10 @@ def load(spark: SparkSession, path: str, build_variant: str) -> DataFrame:
     bad = checked.where("problem IS NOT NULL").select("position", "problem").orderBy("position").limit(1).collect()
     if bad:
         raise ValueError(f"entry {bad[0]['position']}: {bad[0]['problem']}")
+    if check_paths:
+        lost = checked.withColumn("problem", missing_path(F.col("directory"), F.col("file"))).where("problem IS NOT NULL").orderBy("position").limit(1).collect()
+        if lost:
+            raise ValueError(f"entry {lost[0]['position']}: the {lost[0]['problem']} does not exist")
     source = F.when(F.startswith("file", F.lit("/")), F.col("file")).otherwise(F.concat_ws("/", "directory", "file"))
     named = checked.select("position", "directory", source.alias("source_path"), words.alias("arguments"), "output")
     joined = F.array_join("arguments", "\u001f")

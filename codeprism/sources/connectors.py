@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 import re
 import urllib.request
@@ -35,11 +36,22 @@ def post(url: str, body: dict, key: str | None = None, timeout: float = TIMEOUT)
 
 
 def vectors_of(response: dict, n: int) -> list[list[float]]:
-    """Vectors in the order asked; their indexes must be 0 to n - 1, each once."""
-    rows = response.get("data")
-    if not isinstance(rows, list) or sorted(r.get("index", -1) for r in rows) != list(range(n)):
+    """Vectors in the order asked; their indexes must be 0 to n - 1, each once, and they must be finite and of one length."""
+    rows = response.get("data") if isinstance(response, dict) else None
+    if not isinstance(rows, list) or not all(isinstance(r, dict) for r in rows) or sorted(r.get("index", -1) for r in rows) != list(range(n)):
         raise ConnectorError("the provider's indexes do not match the request")
-    return [[float(x) for x in r["embedding"]] for r in sorted(rows, key=lambda r: r["index"])]
+    try:
+        out = [[float(x) for x in r["embedding"]] for r in sorted(rows, key=lambda r: r["index"])]
+    except (KeyError, TypeError, ValueError):
+        raise ConnectorError("the provider's vectors are no numbers") from None
+    if any(not v or not all(map(math.isfinite, v)) for v in out) or len({len(v) for v in out}) > 1:
+        raise ConnectorError("the provider's vectors are empty, not finite or of several lengths")
+    return out
+
+
+def embedding_endpoint(url: str, model: str, key: str | None = None, timeout: float = TIMEOUT) -> Callable[[list[str]], dict]:
+    """An embeddings service: one request per batch of texts, no retries."""
+    return lambda texts: post(f"{url.rstrip('/')}/embeddings", {"model": model, "input": texts}, key, timeout)
 
 
 def hosted_embeddings(df: DataFrame, text: str, call: Callable[[list[str]], dict], name: str = "vector") -> DataFrame:

@@ -12,6 +12,12 @@ from .schemas import SCHEMAS
 
 PROTOCOL, COMPILER = 5, 18
 ENVELOPE = "type string, request_id string, success boolean, fact string, protocol int, clang_major int, capabilities array<string>, message string, value string"
+#: What a producer must be able to do.
+CAPABILITIES = frozenset(
+    "direct_calls full_ast includes inherits lambda_metadata macro_provenance occurrences overrides pp_callbacks source_manager symbols "
+    "template_metadata uses_type function_cfg_v1 callsites_v1 dispatch_targets_v1 macro_expansion_stack template_relationships_v1 "
+    "intraprocedural_dataflow_v1 points_to_v1 function_summaries_v1 interprocedural_bindings_v1".split()
+)
 #: Fact kinds by the table they become.
 KINDS = {
     "symbol": "symbol_variants",
@@ -57,7 +63,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("line", F.from_json("line", ENVELOPE).alias("e")).select("line", "e.*")
 
 
-def check_handshake(records: DataFrame, required: set[str]) -> None:
+def check_handshake(records: DataFrame, required: set[str] = CAPABILITIES) -> None:
     """Every hello must have the protocol, the compiler version and the required capabilities."""
     hellos = records.where("type = 'hello'").select("protocol", "clang_major", "capabilities").distinct().collect()
     if not hellos:
@@ -95,11 +101,41 @@ def unresolved(facts: DataFrame) -> DataFrame:
     return out
 
 
+#: Which rows must stand in the same graph or analysis as the row that they name: kind, column, other kind, shared column.
+SHARED = (
+    ("cfg_element_v1", "block_id", "cfg_block_v1", "graph_id"),
+    ("cfg_edge_v1", "source_block_id", "cfg_block_v1", "graph_id"),
+    ("cfg_edge_v1", "target_block_id", "cfg_block_v1", "graph_id"),
+    ("data_access_v1", "location_id", "memory_location_v1", "analysis_id"),
+    ("data_access_v1", "block_id", "cfg_block_v1", "graph_id"),
+    ("data_access_v1", "analysis_id", "data_flow_analysis_v1", "graph_id"),
+    ("memory_location_v1", "analysis_id", "data_flow_analysis_v1", "graph_id"),
+    ("data_flow_evidence_v1", "source_access_id", "data_access_v1", "analysis_id"),
+    ("data_flow_evidence_v1", "target_access_id", "data_access_v1", "analysis_id"),
+    ("data_flow_evidence_v1", "source_location_id", "memory_location_v1", "analysis_id"),
+    ("data_flow_evidence_v1", "target_location_id", "memory_location_v1", "analysis_id"),
+)
+
+
+def crossing(facts: DataFrame) -> DataFrame:
+    """(kind, column, value) of references into another graph or analysis; empty if all is well."""
+    out = None
+    for kind, column, other, shared in SHARED:
+        there = table(facts, other).select(F.col("id").alias(column), F.col(shared).alias("_there"))
+        one = table(facts, kind).where(F.col(column).isNotNull()).select(column, shared).join(there, column)
+        one = one.where(~F.col(shared).eqNullSafe(F.col("_there"))).select(F.lit(kind).alias("kind"), F.lit(column).alias("column"), F.col(column).alias("value")).distinct()
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 def tables(facts: DataFrame) -> dict[str, DataFrame]:
-    """All tables of the admitted facts; raises if a reference leads nowhere. Of rows with one id one stays."""
+    """All tables of the admitted facts; raises if a reference leads nowhere, or into another graph or analysis. Of rows with one id one stays."""
     bad = unresolved(facts).limit(3).collect()
     if bad:
         raise ValueError("; ".join(f"{r['kind']}.{r['column']} names {r['value']}, which is not there" for r in bad))
+    bad = crossing(facts).limit(3).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r['kind']}.{r['column']} names {r['value']} of another graph or analysis" for r in bad))
     out = {}
     for kind, name in KINDS.items():
         t = table(facts, kind)
