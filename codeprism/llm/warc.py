@@ -29,7 +29,7 @@ REVISIT_BYTES = 1000
 #: Compressed size at which a file is rolled, and payload size of a shard.
 ROLL_BYTES, SHARD_BYTES = 32 << 20, 48 << 20
 #: Sampled ids per shard, from which its ends are taken, and most shards; beyond that they get larger.
-DRAWN, SHARDS = 16, 1 << 17
+DRAWN, SHARDS = 64, 1 << 15
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 5
 ID = "<urn:codeprism:page:{}>"
