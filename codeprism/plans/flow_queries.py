@@ -202,34 +202,44 @@ def summary_flows(spark, sf_dir):
 
 @register(
     "control_flow",
-    f"""WITH {ctes('cfg_graphs', 'cfg_blocks', 'cfg_edges')},
+    f"""WITH {ctes('cfg_graphs', 'cfg_blocks', 'cfg_edges', 'cfg_elements')},
 g AS (SELECT *, row_number() OVER (ORDER BY build_variant, build_configuration_id, translation_unit_id, function_symbol_id, id) AS gn FROM v_cfg_graphs WHERE function_symbol_id = 'fn_7'),
 b AS (SELECT 'block' AS part, g.gn, b.graph_id, b.id, row_number() OVER (ORDER BY g.gn, b.block_index, b.id) AS used FROM g JOIN v_cfg_blocks AS b ON b.graph_id = g.id),
 e AS (SELECT 'edge' AS part, g.gn, e.graph_id, e.id, row_number() OVER (ORDER BY g.gn, s.block_index, e.successor_index, t.block_index, e.kind, e.feasible DESC, e.id) AS used
       FROM g JOIN v_cfg_edges AS e ON e.graph_id = g.id JOIN v_cfg_blocks AS s ON s.id = e.source_block_id JOIN v_cfg_blocks AS t ON t.id = e.target_block_id),
-l AS (SELECT min(gn) AS stop FROM (SELECT gn FROM b WHERE used = 12 UNION ALL SELECT gn FROM e WHERE used = 60) AS x)
-SELECT part, graph_id, id FROM (SELECT * FROM b WHERE used <= 12 UNION ALL SELECT * FROM e WHERE used <= 60) AS y, l WHERE l.stop IS NULL OR gn <= l.stop""",
+n AS (SELECT 'element' AS part, g.gn, n.graph_id, n.id, row_number() OVER (ORDER BY g.gn, b.block_index, n.element_index, n.id) AS used
+      FROM g JOIN v_cfg_elements AS n ON n.graph_id = g.id JOIN v_cfg_blocks AS b ON b.id = n.block_id),
+l AS (SELECT min(gn) AS stop FROM (SELECT gn FROM b WHERE used = 12 UNION ALL SELECT gn FROM n WHERE used = 45 UNION ALL SELECT gn FROM e WHERE used = 60) AS x)
+SELECT part, graph_id, id FROM (SELECT * FROM b WHERE used <= 12 UNION ALL SELECT * FROM n WHERE used <= 45 UNION ALL SELECT * FROM e WHERE used <= 60) AS y, l WHERE l.stop IS NULL OR gn <= l.stop""",
 )
 def control_flow(spark, sf_dir):
-    """Blocks and edges of a function's graphs under budgets that all graphs share."""
-    tables = {t: view(spark, sf_dir, t) for t in ("cfg_graphs", "cfg_blocks", "cfg_edges")}
-    return services.control_flow(tables, "fn_7", max_blocks=12, max_edges=60).select("part", "graph_id", "id")
+    """Blocks, elements and edges of a function's graphs under budgets that all graphs share."""
+    tables = {t: view(spark, sf_dir, t) for t in ("cfg_graphs", "cfg_blocks", "cfg_elements", "cfg_edges")}
+    return services.control_flow(tables, "fn_7", max_blocks=12, max_elements=45, max_edges=60).select("part", "graph_id", "id")
 
 
 @register(
     "data_flow",
-    f"""WITH {ctes('data_flow_analyses', 'cfg_graphs', 'data_accesses', 'cfg_blocks', 'memory_locations', 'data_flow_evidence')},
+    f"""WITH {ctes('data_flow_analyses', 'cfg_graphs', 'data_accesses', 'cfg_blocks', 'memory_locations', 'data_flow_evidence', 'function_summaries', 'summary_effects', 'summary_return_origins', 'interprocedural_flows')},
 g AS (SELECT *, row_number() OVER (ORDER BY build_variant, build_configuration_id, translation_unit_id, function_symbol_id, id) AS gn FROM v_cfg_graphs WHERE function_symbol_id = 'fn_7'),
 a AS (SELECT a.id, g.gn FROM g JOIN v_data_flow_analyses AS a ON a.graph_id = g.id),
 x AS (SELECT 'location' AS part, a.gn, l.id, row_number() OVER (ORDER BY a.gn, l.kind, l.name, l.id) AS used, 8 AS budget FROM a JOIN v_memory_locations AS l ON l.analysis_id = a.id
       UNION ALL SELECT 'access', a.gn, c.id, row_number() OVER (ORDER BY a.gn, b.block_index, c.sequence, c.id), 30 FROM a JOIN v_data_accesses AS c ON c.analysis_id = a.id JOIN v_cfg_blocks AS b ON b.id = c.block_id
-      UNION ALL SELECT 'evidence', a.gn, e.id, row_number() OVER (ORDER BY a.gn, CASE WHEN e.certainty = 'certain' THEN 0 ELSE 1 END, e.relation, e.source_access_id NULLS FIRST, e.source_location_id NULLS FIRST, e.target_access_id NULLS FIRST, e.target_location_id NULLS FIRST, e.id), 25 FROM a JOIN v_data_flow_evidence AS e ON e.analysis_id = a.id),
-l AS (SELECT min(gn) AS stop FROM x WHERE used = budget)
-SELECT part, id FROM x, l WHERE used <= budget AND (l.stop IS NULL OR gn <= l.stop)""",
+      UNION ALL SELECT 'evidence', a.gn, e.id, row_number() OVER (ORDER BY a.gn, CASE WHEN e.certainty = 'certain' THEN 0 ELSE 1 END, e.relation, e.source_access_id NULLS FIRST, e.source_location_id NULLS FIRST, e.target_access_id NULLS FIRST, e.target_location_id NULLS FIRST, e.id), 60 FROM a JOIN v_data_flow_evidence AS e ON e.analysis_id = a.id),
+l AS (SELECT min(gn) AS stop FROM x WHERE used = budget),
+k AS (SELECT part, id FROM x, l WHERE used <= budget AND (l.stop IS NULL OR gn <= l.stop)),
+s AS (SELECT id FROM v_function_summaries WHERE function_symbol_id = 'fn_7' ORDER BY build_variant, build_configuration_id, translation_unit_id, id LIMIT 20),
+r AS (SELECT 'effect' AS part, 1 AS n, id, row_number() OVER (ORDER BY CASE WHEN certainty = 'certain' THEN 0 ELSE 1 END, is_local DESC, kind NULLS FIRST, id) AS i FROM v_summary_effects WHERE summary_id IN (SELECT id FROM s)
+      UNION ALL SELECT 'origin', 2, id, row_number() OVER (ORDER BY CASE WHEN certainty = 'certain' THEN 0 ELSE 1 END, is_local DESC, kind NULLS FIRST, id) FROM v_summary_return_origins WHERE summary_id IN (SELECT id FROM s)
+      UNION ALL SELECT 'flow', 3, id, row_number() OVER (ORDER BY CASE WHEN certainty = 'certain' THEN 0 ELSE 1 END, CASE WHEN target_certainty = 'certain' THEN 0 ELSE 1 END, kind NULLS FIRST, callsite_id NULLS FIRST, id) FROM v_interprocedural_flows WHERE caller_summary_id IN (SELECT id FROM s) OR callee_summary_id IN (SELECT id FROM s)),
+p AS (SELECT part, id, row_number() OVER (ORDER BY n, i) AS used FROM r)
+SELECT * FROM k UNION ALL SELECT part, id FROM p WHERE used <= 60 - (SELECT count(*) FROM k WHERE part = 'evidence')""",
 )
 def data_flow(spark, sf_dir):
-    tables = {t: view(spark, sf_dir, t) for t in ("cfg_graphs", "data_flow_analyses", "memory_locations", "data_accesses", "cfg_blocks", "data_flow_evidence")}
-    return services.data_flow(tables, "fn_7", max_locations=8, max_accesses=30, max_evidence=25).select("part", "id")
+    """Locations, accesses and evidence of a function; then its summaries' effects, origins and flows, as far as the budget of evidence goes."""
+    names = ("cfg_graphs", "data_flow_analyses", "memory_locations", "data_accesses", "cfg_blocks", "data_flow_evidence", "function_summaries", "summary_effects", "summary_return_origins", "interprocedural_flows")
+    tables = {t: view(spark, sf_dir, t) for t in names}
+    return services.data_flow(tables, "fn_7", max_locations=8, max_accesses=30, max_evidence=60).select("part", "id")
 
 
 @register("calls_service", f"WITH {ctes('callsites', 'call_targets')} SELECT s.id AS callsite_id, t.id AS target_id FROM v_callsites AS s JOIN v_call_targets AS t ON t.callsite_id = s.id WHERE target_symbol_id = 'fn_7' AND s.build_variant = 'F' ORDER BY CASE WHEN certainty = 'certain' THEN 0 ELSE 1 END, confidence DESC, s.build_variant, path, start_line, start_column, callsite_id, target_symbol_id, target_id LIMIT 100")

@@ -7,6 +7,9 @@ graphs after the one that used it up are left out.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,20 +96,19 @@ def data_flow(tables: dict[str, DataFrame], function: str, scope=None, max_graph
         return out
     left = max_evidence - out.where("part = 'evidence'").count()
     summaries = tables["function_summaries"].where(F.col("function_symbol_id") == function)
-    ids = F.broadcast(summaries.orderBy(*order_of(LOOKUPS["function_summaries"])).limit(max_graphs).select(F.col("id").alias("summary_id")))
+    names = [r["id"] for r in summaries.orderBy(*order_of(LOOKUPS["function_summaries"])).limit(max_graphs).select("id").collect()]
+    taken: list[tuple] = []  # at most max_evidence rows
     for name, table in (("effect", "summary_effects"), ("origin", "summary_return_origins"), ("flow", "interprocedural_flows")):
-        if left <= 0 or table not in tables:
+        if left <= 0 or table not in tables or not names:
             break
         rows = tables[table]
-        if table == "interprocedural_flows":
-            rows = rows.where(F.col("caller_summary_id").isin(*[r[0] for r in ids.collect()]) | F.col("callee_summary_id").isin(*[r[0] for r in ids.collect()]))
-        else:
-            rows = rows.join(ids, "summary_id")
-        page = bounded_page(rows, order_of(LOOKUPS[table]), left)
-        page = page.select(F.lit(name).alias("part"), F.lit(0).alias("gn"), F.lit(None).cast("string").alias("graph_id"), "id", "truncated")
-        left -= page.count()
-        out = out.unionAll(page)
-    return out
+        ends = ("caller_summary_id", "callee_summary_id") if table == "interprocedural_flows" else ("summary_id",)
+        page = bounded_page(rows.where(functools.reduce(operator.or_, [F.col(c).isin(names) for c in ends])), order_of(LOOKUPS[table]), left)
+        found = page.select("id", "truncated").collect()
+        taken += [(name, 0, None, r["id"], r["truncated"]) for r in found]
+        left -= len(found)
+    more = out.sparkSession.createDataFrame(taken, "part string, gn int, graph_id string, id string, truncated boolean")
+    return out.unionAll(more)
 
 
 def calls(sites: DataFrame, targets: DataFrame, symbol: str, direction: str, requested, allowed: tuple[str, ...], limit: int = 100) -> DataFrame:
