@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from .page import bounded_page, certain_first
 DIRECTIONS = ("outgoing", "incoming", "both")
 #: Edges up to which strongly connected components are worked out by one task.
 ONE_TASK = 1_000_000
+#: Distinct links up to which components are found in one task.
+FEW_LINKS = 200_000
 
 
 def put_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
@@ -278,7 +281,7 @@ def callers_or_callees(edges: DataFrame, sites: DataFrame, targets: DataFrame, s
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in links (a, b): component is the smallest id reachable.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014) on a table of links,
+    Up to FEW_LINKS distinct links are joined up in one task. Beyond: alternating large-star and small-star steps (Kiveris et al. 2014) on a table of links,
     each round cut by a staged table, until the table no longer changes. Minima are combined
     map-side; a hub's links meet its minimum in a join that can be split when skewed. Links
     with a null end and loops are ignored.
@@ -291,6 +294,8 @@ def components(links: DataFrame) -> DataFrame:
         return t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
     before = mark(e)
+    if before[0] <= FEW_LINKS:
+        return components_in_one_task(e)
     while before[0]:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -306,3 +311,27 @@ def components(links: DataFrame) -> DataFrame:
         before = now
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots)
+
+
+def components_in_one_task(links: DataFrame) -> DataFrame:
+    """components() of at most FEW_LINKS links (u, v) by union-find."""
+    schema = links.select(F.col("u").alias("id"), F.col("v").alias("component")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict = {}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        kind = None
+        for b in batches:
+            kind = b.column(0).type
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x, y = find(root.setdefault(u, u)), find(root.setdefault(v, v))
+                root[max(x, y)] = min(x, y)
+        if root:
+            yield pa.RecordBatch.from_arrays([pa.array(list(root), kind), pa.array([find(x) for x in root], kind)], ["id", "component"])
+
+    return links.coalesce(1).mapInArrow(run, schema)

@@ -188,3 +188,12 @@ def test_budgets_are_shared_and_an_exact_fit_is_not_truncated(spark):
     assert len(exact) == 9 and not exact[0]["truncated"]
     two = services.covered({"x": (rows, ["id"], 4), "y": (rows, ["id"], 9)}).collect()
     assert sorted(r["id"] for r in two if r["part"] == "x") == ["10", "11", "12", "20"] and {r["gn"] for r in two} == {1, 2} and two[0]["truncated"]
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_weak_components_in_one_task_and_in_rounds(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW_LINKS", few)
+    pairs = [("a", "b"), ("b", "c"), ("e", "e"), (None, "d"), ("z", "y"), ("c", "a")] + [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)]
+    got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(pairs, "a string, b string")).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "z": "y", "y": "y"} | {f"n{i:03}": "n000" for i in range(61)}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
