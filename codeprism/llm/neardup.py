@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
+from ..operators.graph import components
 from .common import SMALL_BATCHES, WordHash, drop_staged, hashed_texts, mix, pick, settings, slices, staged, whole, worker_memo
-from .graph import components
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, B = 32, 4, 4
@@ -38,6 +38,8 @@ CUT = 0.59
 CHUNK, BLOCK, SHARE, FAMILY = 1 << 16, 2048, 64, 1_000_000
 #: Bytes of text split at once.
 SLICE = 4 << 20
+#: Tasks that a band's members are dealt to, so that a very common band is not one task's.
+SALTS = 16
 #: Rows up to which the list of documents to confirm is broadcast; beyond, texts are shuffled.
 BROADCAST_ROWS = 200_000
 SIG = [f"s{i}" for i in range(LONGS)]
@@ -365,9 +367,12 @@ def judged_rows(rows: DataFrame) -> DataFrame:
     one = sigs.join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*own), F.struct("h1", "h2")).alias("s"))
     reps = staged(one.select("doc_id", "s.*"), "reps")
     drop_staged(sigs)
-    keys = reps.select("doc_id", F.explode("bands").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    groups = staged(keys.join(hubs, "key").select("key", "doc_id", "hub", "members"), "groups")
+    keys = reps.select("doc_id", F.explode("bands").alias("key")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    # counted by part of a band first; the few bands that several documents share go to all parts
+    counted = keys.groupBy("key", "salt").agg(F.min("doc_id").alias("hub"), F.count("*").alias("members"))
+    hubs = counted.groupBy("key").agg(F.min("hub").alias("hub"), F.sum("members").alias("members"), F.collect_list("salt").alias("salts")).where("members > 1")
+    salted = hubs.select("key", "hub", "members", F.explode("salts").alias("salt"))
+    groups = staged(keys.join(salted, ["key", "salt"]).select("key", "doc_id", "hub", "members"), "groups")
     star = groups.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     likely = staged(estimate(star, reps), "likely")
     labels = staged(components(confirm(likely, rows)), "labels")

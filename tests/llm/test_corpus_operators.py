@@ -14,7 +14,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from codeprism.llm import common, kdtree, lm, mixing, neardup, packing, quality, warc
-from codeprism.llm.graph import components
+from codeprism.operators import graph
+from codeprism.operators.graph import components
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 ODD = [None, "", " \n", "one", "One, two; it's <|endoftext|> <|ENDOFTEXT|> x", "\u1100\u1161 e\u0301 \u0958 ΟΔΟΣ. \u0130x", "word! " * 3000, "\x1c\x85a\u00a0b\u2028c don't!!", "a" * 3000]
@@ -215,7 +216,9 @@ def test_near_duplicates_edge_cases(spark):
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [3, 5]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW_LINKS", few)
     links = spark.createDataFrame([(1, 2), (2, 3), (5, 5), (None, 4), (7, 9), (9, 8), (3, 1)] + [(i, i + 1) for i in range(100, 140)], "a long, b long")
     got = {r["id"]: r["component"] for r in components(links).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7} | {i: 100 for i in range(100, 141)}
