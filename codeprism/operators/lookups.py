@@ -164,7 +164,3 @@ def translation_unit_states(units: DataFrame, configurations: DataFrame, depende
 def ordered_distinct(df: DataFrame, value: str, position: str) -> DataFrame:
     """Distinct values with the position at which each first came."""
     return df.groupBy(value).agg(F.min(position).alias(position))
-
-
-def numbered(df: DataFrame, by: list, order: list, name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

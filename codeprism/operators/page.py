@@ -27,18 +27,3 @@ def bounded_page(df: DataFrame, order: list, limit: int) -> DataFrame:
     every = Window.partitionBy().orderBy(*order)
     numbered = probe.withColumn("_rank", F.row_number().over(every)).withColumn("truncated", F.count("*").over(Window.partitionBy()) > limit)
     return numbered.where(F.col("_rank") <= limit).drop("_rank")
-
-
-def budgets(parts: DataFrame, group_order: list, order: list, budget: int) -> DataFrame:
-    """Rows of ordered groups that a budget shared by all groups still covers.
-
-    A group stands in `group_order`, a row within it in `order`. Adds `used` (rows before and
-    with this one) and drops rows beyond the budget; `truncated` says if any were dropped.
-    Rows per group are cut to the budget first, map-side by group, so the final order is of
-    at most budget rows per group.
-    """
-    first = parts.withColumn("_n", F.row_number().over(Window.partitionBy(*group_order).orderBy(*order))).where(F.col("_n") <= budget + 1)
-    probe = first.orderBy(*group_order, *order).limit(budget + 1)
-    every = Window.partitionBy().orderBy(*group_order, *order)
-    used = probe.withColumn("used", F.row_number().over(every)).withColumn("truncated", F.count("*").over(Window.partitionBy()) > budget)
-    return used.where(F.col("used") <= budget).drop("_n")
