@@ -37,7 +37,7 @@ from .common import SMALL_BATCHES, WordHash, distinct, drop_staged, forget_memo,
 FOLDS, HELD_OUT = 5, 1
 SPARE = 1 << 20
 #: Tokens in a chunk, keys in a range, bytes of text split at once.
-CHUNK, RANGE, SLICE = 600_000, 2_000_000, 4 << 20
+CHUNK, RANGE, SLICE = 1_000_000, 3_000_000, 4 << 20
 #: The end of a text, which no word can equal, as it holds white space.
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 ODD, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
