@@ -197,3 +197,17 @@ def test_weak_components_in_one_task_and_in_rounds(spark, monkeypatch, few):
     got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(pairs, "a string, b string")).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "z": "y", "y": "y"} | {f"n{i:03}": "n000" for i in range(61)}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("one_task", [None, 0])
+def test_closures_of_deep_graphs(spark, monkeypatch, one_task):
+    """In one task a level costs no job; level by level the result is the same."""
+    n, tables, plain = 40, [], graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, tag: tables.append(tag) or plain(df, tag))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(n, 3), (None, 1), (2, None)], "a long, b long")
+    seed = spark.createDataFrame([(2,), (77,)], "id int")
+    got = {tuple(r) for r in graph.closure(chain, seed, one_task=one_task).collect() if r["id"] is not None}
+    assert got == {(i, i - 2) for i in range(2, n + 1)} | {(77, 0)}
+    assert len(tables) == 1 or one_task == 0
+    assert graph.closure(chain.where("a > 1000"), seed).count() == 2 and graph.closure(chain, seed.where("id > 1000")).count() == 0
+
