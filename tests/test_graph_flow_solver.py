@@ -211,3 +211,19 @@ def test_closures_of_deep_graphs(spark, monkeypatch, one_task):
     assert len(tables) == 1 or one_task == 0
     assert graph.closure(chain.where("a > 1000"), seed).count() == 2 and graph.closure(chain, seed.where("id > 1000")).count() == 0
 
+
+def test_strong_components_of_more_than_a_million_calls(spark):
+    n = 1_100_000
+    ring = spark.range(n).selectExpr("id AS a", f"(id + 1) % {n} AS b")
+    assert [tuple(r) for r in graph.strong_components(ring).groupBy("component").count().collect()] == [(0, n)]
+
+
+def test_call_order_in_one_task_and_distributed(spark):
+    r = random.Random(5)
+    pairs = sorted({(f"n{r.randint(0, 30):02}", f"n{r.randint(0, 30):02}") for _ in range(38)})
+    links = spark.createDataFrame(pairs, "a string, b string")
+    one, far = ({tuple(x) for x in graph.call_order(links, t).collect()} for t in (1000, 0))
+    level = {x: k for x, _, _, k in one}
+    of = {x: c for x, c, _, _ in one}
+    assert one == far and of == plain_strong(pairs) and max(level.values()) > 2
+    assert all(level[x] == max([level[b] + 1 for a, b in pairs if of[a] == of[x] != of[b]], default=0) for x in level)
