@@ -227,3 +227,57 @@ def test_call_order_in_one_task_and_distributed(spark):
     of = {x: c for x, c, _, _ in one}
     assert one == far and of == plain_strong(pairs) and max(level.values()) > 2
     assert all(level[x] == max([level[b] + 1 for a, b in pairs if of[a] == of[x] != of[b]], default=0) for x in level)
+
+
+def random_program(seed, functions=26):
+    """Tables with several bodies of a function, recursion, unknown targets, odd bindings, results and two builds."""
+    r = random.Random(seed)
+    t = {k: [] for k in solver.INPUTS}
+    for b in ("x", "y"):
+        for i in range(functions):
+            for unit in ["tu"] + ["other"] * (r.random() < 0.2):
+                prov = {"translation_unit_id": unit, "build_configuration_id": "cfg", "build_variant": b}
+                n, s = r.randint(0, 2), f"s{b}{unit}{i}"
+                t["summaries"].append(summary(s, f"f{i}", n, ["volatile_access"] if r.random() < 0.05 else [], **prov) | {"parameter_modes": [r.choice(["reference", "value", "pointer"]) for _ in range(n)]})
+                for k in range(r.randint(0, 2)):
+                    t["effects"].append(effect(f"e{s}{k}", s, r.choice(["read", "write"]), *r.choice([("parameter", r.randint(0, 1)), ("global", None), ("field", None), ("local", None)]), location=f"l{k}") | {"access_path": r.choice([[], ["it's"], ["a", 'b"']])})
+                t["origins"].append({"id": f"o{s}", "summary_id": s, "kind": "location", "location_kind": r.choice(["parameter", "global"]), "certainty": r.choice(["certain", "possible"]), "parameter_index": r.choice([0, None]), "access_path": ["r"], "location_id": f"{s}p0", "callsite_id": None, "is_local": True})
+                for k in range(r.randint(0, 2)):
+                    c = f"c{s}{k}"
+                    t["sites"].append(site(c, f"f{i}", r.random() < 0.9, **prov))
+                    for _ in range(r.choice([0, 1, 1, 1, 2])):
+                        to = r.choice([i, r.randint(0, functions + 1), *[r.randint(i, functions)] * 6])
+                        t["targets"].append(target(c, f"f{to}", r.choice(["certain", "possible"])) | {"id": f"t{c}{to}"})
+                    for a in (0, 1):
+                        if r.random() < 0.85:
+                            t["bindings"].append(binding(s, c, a, r.random() < 0.9, r.choice(["parameter", "global"]), r.choice([0, 1, None])) | {"access_path": ["g"] * r.randint(0, 3)})
+                    if r.random() < 0.5:
+                        t["results"].append({"caller_summary_id": s, "callsite_id": c, "location_id": f"r{c}", "definition_access_id": f"d{c}"})
+                        t["origins"].append(t["origins"][-1] | {"id": f"q{c}", "summary_id": s, "kind": "call_result", "location_kind": None, "parameter_index": None, "access_path": [], "location_id": None, "callsite_id": c})
+    return t
+
+
+TYPES = {
+    "summaries": "id string, function_symbol_id string, parameter_modes array<string>, parameter_location_ids array<string>, local_incomplete_reasons array<string>, translation_unit_id string, build_configuration_id string, build_variant string",
+    "effects": "id string, summary_id string, kind string, location_kind string, certainty string, parameter_index int, access_path array<string>, location_id string, source_access_id string, is_local boolean",
+    "origins": "id string, summary_id string, kind string, location_kind string, certainty string, parameter_index int, access_path array<string>, location_id string, callsite_id string, is_local boolean",
+    "bindings": "caller_summary_id string, callsite_id string, argument_index int, location_id string, location_kind string, parameter_index int, access_path array<string>, writeback_candidate boolean, complete boolean",
+    "results": "caller_summary_id string, callsite_id string, location_id string, definition_access_id string",
+    "sites": "id string, owner_symbol_id string, target_set_complete boolean, translation_unit_id string, build_configuration_id string, build_variant string",
+    "targets": "id string, callsite_id string, target_symbol_id string, certainty string",
+}
+
+
+@pytest.mark.parametrize("seed, limits", [(1, solver.Limits()), (2, solver.Limits(component=2)), (3, solver.Limits(rounds=1, effects=3))])
+def test_levels_solve_as_one_group_does(spark, monkeypatch, seed, limits):
+    rows = random_program(seed)
+    tables = {k: spark.createDataFrame([{c.split()[0]: x.get(c.split()[0]) for c in TYPES[k].split(", ")} for x in rows[k]], TYPES[k]) for k in solver.INPUTS}
+    plain = {k: sorted(map(str, df.collect())) for k, df in solver.solve(tables, limits).items()}
+    monkeypatch.setattr(solver, "ONE_GROUP", 0)
+    monkeypatch.setattr(solver, "components", None)  # no connected part is made
+    levels = solver.solve(tables, limits)
+    assert all(plain.values())
+    for k in ("effects", "origins", "flows", "summaries"):
+        df = levels[k]
+        got = sorted(map(str, df.select(*[c.split()[0] for c in solver.SCHEMAS[k].split(", ")]).collect()))
+        assert got == plain[k], (k, [x for x in got if x not in plain[k]][:1], [x for x in plain[k] if x not in got][:1])
