@@ -416,3 +416,19 @@ def test_repeated_ids_keep_the_same_row_on_every_run(spark):
     assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 2
     judged = [sorted(map(str, neardup.near_duplicates(rows.repartition(n)).collect())) for n in (1, 5)]
     assert judged[0] == judged[1]
+
+
+def test_an_idle_worker_gives_up_its_memo(monkeypatch):
+    import time
+
+    monkeypatch.setattr(common, "IDLE", 0.3)
+    common.forget_memo()
+    memo = common.worker_memo("words", common.WordHash)
+    memo[b"x"] = 1
+    for _ in range(4):  # it stays as long as it is asked for
+        time.sleep(0.15)
+        assert common.worker_memo("words", common.WordHash) is memo
+    time.sleep(1)
+    assert not common._memos
+    assert common.worker_memo("words", common.WordHash) is not memo
+    common.forget_memo()
