@@ -19,15 +19,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MEMO, SMALL_BATCHES, pick, slices, staged, word_table, worker_memo
+from .common import SMALL_BATCHES, give_back, pick, slices, staged, word_table, worker_memo
 
 CAPACITY, END = 4096, 2
 #: Pieces that share a rank counter: a share of all, so that no length makes a large group.
 GROUPS, LEAST = 65_536, 64
 #: Punctuation that the tokenizer splits from a letter before it, and longest word kept in the memo.
 TAIL, LONGEST = ".,;:!?*#$%&|", 64
+#: Words encoded at once: what the tokenizer holds of a word is many times its ids.
+WORDS = 4096
+#: Words whose ids a Python worker remembers; the memo is emptied when full.
+MEMO = 100_000
 #: Bytes of text worked on at once.
-SLICE = 3 << 20
+SLICE = 1 << 20
 
 
 class WordIds(dict):
@@ -52,11 +56,13 @@ class WordIds(dict):
         self.tails: dict[str, bytes] = {"": b""}
 
     def encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        some = (words[i : i + WORDS] for i in range(0, len(words), WORDS))
+        return [np.array(e.ids, "<u4").tobytes() for x in some for e in self.tokenizer.encode_batch_fast(x, add_special_tokens=False)]
 
     def encode_letters(self, words: list[str]) -> list[bytes]:
-        if not words:
-            return []
+        return [x for i in range(0, len(words), WORDS) for x in self.encode_some_letters(words[i : i + WORDS])]
+
+    def encode_some_letters(self, words: list[str]) -> list[bytes]:
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(words):  # a letter that the tokenizer's normal form takes apart
@@ -74,7 +80,8 @@ class WordIds(dict):
     def ids(self, words: list[bytes]) -> list[bytes]:
         """Ids of distinct words. When full, the memo starts anew with the words met again."""
         if len(self) > MEMO:
-            self.older = dict(self)
+            self.older.clear()
+            self.older.update(self)
             self.clear()
         out = list(map(self.get, words))
         new = []
@@ -142,6 +149,7 @@ def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
                     [b.column("doc_id").take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:])],
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
+            give_back()
 
     return docs.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 

@@ -432,3 +432,18 @@ def test_an_idle_worker_gives_up_its_memo(monkeypatch):
     assert not common._memos
     assert common.worker_memo("words", common.WordHash) is not memo
     common.forget_memo()
+
+
+def test_packing_encodes_a_bounded_number_of_words_at_once():
+    words = [f"{a}{b}{c}{end}" for a in "bcdfghklmn" for b in "aeiouyxzqw" for c in "rstvwxkpmnzqjl" for end in ("a", "e", "i", ".", "7")]
+    ids, most = packing.WordIds(TOKENIZER), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            most.append(sum(len(t.split()) for t in texts))
+            return plain.encode_batch_fast(texts, **options)
+
+    plain, ids.tokenizer = ids.tokenizer, Counted()
+    got = ids.ids([w.encode() for w in words])
+    assert got == [np.array(plain.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    assert len(words) == 7000 and max(most) <= 4096
