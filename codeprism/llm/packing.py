@@ -29,9 +29,9 @@ TAIL, LONGEST = ".,;:!?*#$%&|", 64
 #: Words encoded at once: what the tokenizer holds of a word is many times its ids.
 WORDS = 4096
 #: Words whose ids a Python worker remembers; the memo is emptied when full.
-MEMO = 100_000
+MEMO = 150_000
 #: Bytes of text worked on at once.
-SLICE = 1 << 20
+SLICE = 2 << 20
 
 
 class WordIds(dict):
