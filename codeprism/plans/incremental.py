@@ -90,7 +90,7 @@ def impacted_functions(calls: DataFrame, changed: DataFrame) -> DataFrame:
     return changed.select("id").union(graph.reverse_callers(calls, changed)).distinct()
 
 
-def refresh_summaries(tables: dict[str, DataFrame], calls: DataFrame, changed: DataFrame, limits: solver.Limits = solver.Limits()) -> dict[str, DataFrame]:
+def refresh_summaries(tables: dict[str, DataFrame], calls: DataFrame, changed: DataFrame, limits: solver.Limits | None = None) -> dict[str, DataFrame]:
     """Solved rows of impacted functions; callees take part in the solution but are not written."""
     impacted = impacted_functions(calls, changed)
     needed = graph.forward_callees(calls, impacted)
@@ -214,7 +214,7 @@ class Store:
         with plain_unions(self.spark):
             return self.commit(*self.replaced(gone, batch, self.manifest()))
 
-    def ingest(self, build: str, batch: dict[str, DataFrame], current: DataFrame | None = None, limits: solver.Limits = solver.Limits()) -> int:
+    def ingest(self, build: str, batch: dict[str, DataFrame], current: DataFrame | None = None, limits: solver.Limits | None = None) -> int:
         """Take a batch of facts of one build into the store, in one commit; returns how many summaries were solved anew.
 
         The batch's units replace their earlier rows; with current (ids of all units of the
@@ -226,7 +226,7 @@ class Store:
         with plain_unions(self.spark):
             return self._ingest(build, batch, current, limits)
 
-    def _ingest(self, build: str, batch: dict[str, DataFrame], current: DataFrame | None, limits: solver.Limits) -> int:
+    def _ingest(self, build: str, batch: dict[str, DataFrame], current: DataFrame | None, limits: solver.Limits | None) -> int:
         m = self.manifest()
         spark = self.spark
         ids = lambda df, c: df.select(F.col(c).alias("id"))
@@ -270,7 +270,7 @@ class Store:
             # what a removed unit's callsite had is among the rows of that unit already
             touched["call_targets"] = touched["call_targets"].unionByName(differ, allowMissingColumns=True)
 
-    def _refresh_solutions(self, build: str, before: dict, out: dict, touched: dict, gone: DataFrame, batch: dict, limits: solver.Limits) -> int:
+    def _refresh_solutions(self, build: str, before: dict, out: dict, touched: dict, gone: DataFrame, batch: dict, limits: solver.Limits | None) -> int:
         """Solutions of the functions that the change may touch: those of changed units and all that reach them, before or after."""
         def calls(tables: dict[str, DataFrame]) -> DataFrame:
             if "callsites" not in tables or "call_targets" not in tables:

@@ -281,3 +281,42 @@ def test_levels_solve_as_one_group_does(spark, monkeypatch, seed, limits):
         df = levels[k]
         got = sorted(map(str, df.select(*[c.split()[0] for c in solver.SCHEMAS[k].split(", ")]).collect()))
         assert got == plain[k], (k, [x for x in got if x not in plain[k]][:1], [x for x in plain[k] if x not in got][:1])
+
+
+def as_tables(spark, rows):
+    return {k: spark.createDataFrame([{c.split()[0]: x.get(c.split()[0]) for c in TYPES[k].split(", ")} for x in rows[k]], TYPES[k]) for k in solver.INPUTS}
+
+
+def test_without_limits_nothing_is_cut(spark, monkeypatch):
+    """A ring of more than 128 functions that takes more than 32 rounds, and a function with more than 1024 effects."""
+    n, many = 150, 1100
+    rows = {k: [] for k in solver.INPUTS}
+    rows["summaries"] = [summary(f"s{i}", f"f{i}", 0) for i in range(n)] + [summary("t", "top", 0), summary("w", "wide", 0)]
+    rows["sites"] = [site(f"c{i}", f"f{i}") for i in range(n)] + [site("ct", "top")]
+    rows["targets"] = [target(f"c{i}", f"f{(i + 1) % n}") | {"id": f"t{i}"} for i in range(n)] + [target("ct", "wide") | {"id": "tt"}]
+    rows["effects"] = [effect(f"e{i}", f"s{i}", where="global", index=None) for i in (0, 70)] + [effect(f"w{i}", "w", where="global", index=None) for i in range(many)]
+    want = {(f"s{i}", a) for i in range(n) for a in ("ae0", "ae70")} | {(s, f"aw{i}") for s in "tw" for i in range(many)}
+    for one_group in (20_000, 0):
+        monkeypatch.setattr(solver, "ONE_GROUP", one_group)
+        got = solver.solve(as_tables(spark, rows))
+        assert {(r["summary_id"], r["source_access_id"]) for r in got["effects"].collect()} == want
+        assert all(r["complete"] for r in got["summaries"].collect())
+
+
+def test_the_fixpoint_is_that_of_plain_rounds(spark, monkeypatch):
+    """As rounds over all members without any cut; by levels too, with components dealt to many groups."""
+    tables = as_tables(spark, random_program(4))
+    plain = {k: sorted(map(str, df.collect())) for k, df in solver.solve(tables, solver.Limits(1000, 1000, 10**6)).items()}
+    assert all(plain.values()) and not any("cap_exceeded" in x for x in plain["summaries"])
+    for few in (10**6, 40):  # one group; too many effects for it
+        monkeypatch.setattr(solver, "ROWS", few)
+        for k, df in solver.solve(tables).items():
+            assert sorted(map(str, df.select(*[c.split()[0] for c in solver.SCHEMAS[k].split(", ")]).collect())) == plain[k], (k, few)
+
+
+def test_values_that_go_round_in_a_loop_end():
+    """Rounds over all members never end here: equal rows hand a certainty round in a loop of calls."""
+    rows = random_program(158, 6 + 158 % 24)
+    capped, whole = (run(limits, **rows) for limits in (solver.Limits(40, 1000, 10**6), None))
+    assert any("scc_iteration_cap_exceeded" in r for r in reasons(capped).values()) and not any("scc_iteration_cap_exceeded" in r for r in reasons(whole).values())
+    assert {e["id"] for e in whole["effects"]} == {e["id"] for e in capped["effects"]}

@@ -74,3 +74,17 @@ def test_the_solver_takes_all_customers(spark):
     assert len(got) == n and {tuple(r) for r in got} == {(f"s{a}", not any(b % 7 == 3 for b in reach[a])) for a in range(n)}
     got = catalog.QUERIES["summary_flows"](spark, SF).collect()
     assert sum(r["flows"] for r in got if r["kind"] == "argument_to_parameter") == sum(map(len, calls.values()))
+
+
+def test_the_solver_takes_large_components(spark, tmp_path):
+    """397 customers of whom a component holds more than 128."""
+    n = 397
+    pd.DataFrame({"c_custkey": range(n)}).to_parquet(tmp_path / "customer.parquet")
+    calls = {a: {(a * 3 + 1) % n, (a * 5 + 2) % n} for a in range(n) if a % 4}
+    reach = {a: reached(calls, a) for a in range(n)}
+    assert max(sum(b in reach[a] and a in reach[b] for b in range(n)) for a in range(n)) > 128
+    got = catalog.QUERIES["summary_effects_solved"](spark, str(tmp_path)).collect()
+    want = {(f"s{a}", f"a{b}") for a in range(n) for b in reach[a] if b % 3 == 0}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    got = catalog.QUERIES["summary_completeness"](spark, str(tmp_path)).collect()
+    assert len(got) == n and {tuple(r) for r in got} == {(f"s{a}", not any(b % 7 == 3 for b in reach[a])) for a in range(n)}
